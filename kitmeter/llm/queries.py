@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, licenses, packing, secrets, sharding
+from . import decontam, fingerprints, jaccard, langid, licenses, packing, pii, secrets, sharding
 from .oracle import ORACLE
 
 
@@ -14,6 +14,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
@@ -40,8 +48,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir)).drop("n_entropy")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_documents(spark, sf_dir)).drop("n_term")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_license_scan, op4_decontamination, op5_hilbert_sharding, op7_fingerprints, op8_best_two_fit, op9_secret_scan)
+    found = (op1_language_id, op2_ngram_jaccard, op3_license_scan, op4_decontamination, op5_hilbert_sharding, op7_fingerprints, op8_best_two_fit, op9_secret_scan, op10_pii)
     return {f.__name__: f for f in found}
 
 
