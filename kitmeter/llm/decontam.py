@@ -195,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         F.size("__near").cast("long").alias("n_near_items"),
         F.col("__items").alias("items"),
         F.col("__spans").alias("spans"),
-        *([F.col(x) for x in keep or [] if x != "doc_id"]),
+        *[F.col(x) for x in keep or [] if x != "doc_id"],
     )
 
 
@@ -225,3 +225,12 @@ def brute_force(texts: list[str | None], items: list[tuple], window: int = WINDO
                         names.add(str(name))
         out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without a hit, with their own columns."""
+    others = [x for x in docs.columns if x not in ("doc_id", "text")]
+    numbered = docs.select("doc_id", "text", *[F.col(f"`{x}`").alias(f"__c{k}") for k, x in enumerate(others)])
+    names = {x: f"__c{k}" for k, x in enumerate(others)} | {"doc_id": "doc_id", "text": "text"}
+    kept = contamination(numbered, benchmark, window, keep=[*names.values()]).where(~F.col("contaminated"))
+    return kept.select(*[F.col(names[x]).alias(x) for x in docs.columns])
