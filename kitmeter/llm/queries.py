@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, jaccard, langid, licenses, packing, pii, secrets, sharding
+from . import decontam, fingerprints, htmltext, jaccard, langid, licenses, packing, pii, secrets, sharding
 from .oracle import ORACLE
 
 
@@ -36,6 +36,10 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir))
 
 
+def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_ngram_jaccard, op3_license_scan, op4_decontamination, op5_hilbert_sharding, op7_fingerprints, op8_best_two_fit, op9_secret_scan, op10_pii)
+    found = (op1_language_id, op2_ngram_jaccard, op3_license_scan, op4_decontamination, op5_hilbert_sharding, op6_html_crf, op7_fingerprints, op8_best_two_fit, op9_secret_scan, op10_pii)
     return {f.__name__: f for f in found}
 
 
