@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -60,13 +60,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, hasher: Callable[[bytes], str] = digest) -> DataFrame:
     """doc_id and digest of each document; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.chunks(batch):
-                found = [digest(canonical(t or "")) for t in part.column("text").to_pylist()]
+                found = [hasher(canonical(t or "")) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(found, pa.string())], names=["doc_id", "digest"])
 
     return common.text_column(docs, "doc_id", "text").mapInArrow(run, "doc_id long, digest string")
@@ -92,8 +92,8 @@ def _pack(parts: int):
     return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """A row for each document; see SCHEMA."""
+def fingerprints(docs: DataFrame, hasher: Callable[[bytes], str] = digest) -> DataFrame:
+    """A row for each document; see SCHEMA. ``hasher`` makes the digest of a canonical form."""
     spark = docs.sparkSession
     rows = common.text_column(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = common.parallelism(spark)
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # part 0 holds the largest doc_ids; a border belongs to the range above it
     upto = F.array_size(F.filter(F.array(*map(F.lit, borders)), lambda b: b > key)).cast("int") if borders else F.lit(0)
 
-    own = common.checkpoint(digests(rows))
+    own = common.checkpoint(digests(rows, hasher))
     twice = own.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     marked = own.join(twice.withColumn("twice", F.lit(True)), "digest", "left").select("doc_id", F.coalesce("twice", F.lit(False)).alias("twice"))
     marks = marked.where("twice").select("doc_id").distinct()
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             e = edited(text, following)
             e_form = canonical(e)
             n_form = canonical(following)
-            for column, x in zip(out, (doc, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), digest(form), digest(e_form), float(e_form == form), float(n_form == form), form if mark else None)):
+            for column, x in zip(out, (doc, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), hasher(form), hasher(e_form), float(e_form == form), float(n_form == form), form if mark else None)):
                 column.append(x)
             held_bytes += len(form) if mark else 0
             held = None
