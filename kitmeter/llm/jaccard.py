@@ -56,11 +56,11 @@ HEAVY_MOST = 1 << 20
 CELLS = 64
 BLOCK = 1024
 #: Text bytes whose postings one task counts.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 #: Candidate documents whose numbers may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 _SHIFT = np.uint64(20)
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -188,7 +188,7 @@ def list_pairs(rows: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.nda
     for m in np.unique(length[length > 1]).tolist():
         begins = first[length == m]
         i, j = np.triu_indices(m, 1)
-        step = max(1, (1 << 21) // len(i))
+        step = max(1, (1 << 19) // len(i))
         for k in range(0, len(begins), step):
             at = begins[k : k + step, None]
             x, y = rows[(at + i).ravel()], rows[(at + j).ravel()]

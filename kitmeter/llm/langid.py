@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bound of the training sample, of all languages together.
-SAMPLE = 4000
+SAMPLE = 2400
 CLUSTERS = 4
-DIMENSIONS = 8192
+DIMENSIONS = 4096
 ROUNDS = 12
 
 #: Rejection: below this share of the cosine that all but QUANTILE of the training texts of a language reach.
@@ -79,13 +79,16 @@ def counts(texts: pa.Array) -> np.ndarray:
             solid |= b[k : k + m] != 32
         solid &= doc[:m] == doc[size - 1 :]
         code = (code[solid] * np.uint32(0x9E3779B1) ^ np.uint32(size * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)
-        out += np.bincount(doc[:m][solid] + (code >> np.uint32(19)).astype(np.int64), minlength=len(out))
+        out += np.bincount(doc[:m][solid] + (code >> np.uint32(20)).astype(np.int64), minlength=len(out))
     return out.reshape(n, DIMENSIONS)
 
 
 def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(found.astype(np.float32)) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    v = found.astype(np.float32)
+    np.log1p(v, out=v)
+    v *= idf
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    return v
 
 
 def spherical_kmeans(v: np.ndarray, k: int) -> np.ndarray:
@@ -137,12 +140,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
     drawn = sorted((r for r in drawn if r["at"]), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["at"], r["n"]))
     if not drawn:
         return None
-    found = np.zeros((len(drawn), DIMENSIONS), np.int32)
+    found = np.zeros((len(drawn), DIMENSIONS), np.uint16)
     for row, r in zip(found, drawn):
         row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u2")
-    idf = np.log((1 + len(found)) / (1 + (found > 0).sum(axis=0)) + 1).astype(np.float32)
-    v = vectors(found, idf)
+    idf = np.log((1 + len(found)) / (1 + np.count_nonzero(found, axis=0)) + 1).astype(np.float32)
     label = np.array([r["lang"] for r in drawn])
+    v = vectors(found, idf)
+    del found, drawn
     languages = sorted(set(label.tolist()))
     parts = [spherical_kmeans(v[label == x], clusters) for x in languages]
     centroids = np.concatenate(parts)
