@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import secrets
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -28,4 +30,68 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLE = {"op4_decontamination": OP4}
+OP2 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) AS BIGINT) - 2)) AS i FROM d WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), links AS (
+  SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM g p JOIN g q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY 1, 2) x
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), r(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, b FROM r JOIN links ON node = a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(kind: int, name: str, pattern: str) -> str:
+    return f"SELECT doc_id, {kind} AS kind, '{name}' AS name, regexp_extract_all(t, '{pattern}', 0) AS s, string_split_regex(t, '{pattern}') AS g FROM d"
+
+
+def _op9() -> str:
+    parts = " OR ".join(f"contains(s, '{x}')" for x in secrets.ALLOW_PARTS)
+    forms = " OR ".join(f"regexp_matches(s, '{x}')" for x in secrets.ALLOW_FORMS)
+    (_, hex_form, hex_window, hex_least), (_, _, window, least) = secrets.CLASSES
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_matches(0, "assign", _ASSIGN)} UNION ALL {_matches(1, "access", secrets.ACCESS)} UNION ALL {_matches(2, "hex", "[0-9a-f]{32,}")} UNION ALL {_matches(3, "entropy", "[A-Za-z0-9+/_=-]{20,}")}),
+e AS (
+  SELECT doc_id, kind, name, s[i] AS s, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, CAST(len(s) AS BIGINT) + 1)) AS i FROM m)
+),
+base AS (
+  SELECT doc_id, kind, name, start, start + length(s) AS stop FROM e
+  WHERE kind = 0 AND length(regexp_extract(s, '{_ASSIGN}', 2)) >= 8 OR kind = 1 AND length(s) >= 16 OR kind = 2
+),
+c AS (
+  SELECT doc_id, s, start, CASE WHEN regexp_matches(s, '{hex_form}') THEN {hex_window} ELSE {window} END AS w, CASE WHEN regexp_matches(s, '{hex_form}') THEN {hex_least} ELSE {least} END AS least
+  FROM e WHERE kind = 3 AND regexp_matches(s, '[0-9]') AND NOT ({parts} OR {forms})
+),
+h AS (
+  SELECT doc_id, start + min(i) - 1 AS start, start + max(i) - 1 + w AS stop
+  FROM (SELECT *, unnest(range(1, length(s) - w + 2)) AS i FROM c) WHERE list_aggregate(string_split(substring(s, i, w), ''), 'entropy') >= least
+  GROUP BY doc_id, start, s, w
+),
+every AS (
+  SELECT * FROM base
+  UNION ALL SELECT doc_id, 3, 'entropy', start, stop FROM h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.start < h.stop AND h.start < b.stop)
+),
+a AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS b, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
+  FROM every GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+ORACLE = {"op2_ngram_jaccard": OP2, "op4_decontamination": OP4, "op9_secret_scan": _op9()}
