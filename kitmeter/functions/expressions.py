@@ -54,7 +54,7 @@ def feature(path: Column) -> Column:
 
 def join_path(parent: Column, path: Column) -> Column:
     """A child route's path under its parent's."""
-    plain = F.regexp_replace(parent, "/+$", "")
+    plain = F.regexp_replace(parent, "/$", "")
     return F.when(path.isNull(), parent).when(path == "", F.when(parent == "", F.lit("/")).otherwise(parent)).when(path.startswith("/"), path).otherwise(F.concat(plain, F.lit("/"), path))
 
 

@@ -94,8 +94,9 @@ def scalars(per_repo: DataFrame, groups: DataFrame, packages: DataFrame) -> Data
     a = per_repo.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean_adoption"))
     b = groups.agg(F.count("*").alias("groups"), F.count_if(F.col("level") == "confirmed").cast("long").alias("confirmed"))
     c = packages.agg(F.count("*").alias("packages"))
-    # each side is one row
-    return a.join(F.broadcast(b)).join(F.broadcast(c))
+    # three frames of one row become one row
+    every = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+    return every.agg(*[F.max(x).alias(x) for x in ("mean_adoption", "groups", "confirmed", "packages")])
 
 
 def share_of_total(df: DataFrame, column: str) -> DataFrame:

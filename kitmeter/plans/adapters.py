@@ -42,7 +42,7 @@ FROM part
 """
 
 EDGE = """
-SELECT DISTINCT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, l_partkey % 97 AS src, (l_partkey * 31 + l_linenumber) % 97 AS dst FROM lineitem WHERE l_orderkey % 50 = 0
+SELECT DISTINCT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, l_partkey % 97 AS src, (l_partkey * 31 + l_linenumber) % 97 AS dst FROM lineitem WHERE l_orderkey % 5 = 0
 """
 
 ROUTE_USAGE = """

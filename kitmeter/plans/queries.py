@@ -283,7 +283,7 @@ def g2_merged_counters(spark, d):
     return counters.usage_counters(p, aliases)
 
 
-@query(f"WITH p AS ({A.PENDING}) SELECT repo_id, def_file, symbol, count(*) AS usage_count, 1 AS files_used_in, 'possible' AS shadow_level, arg_min(file_path, (file_ord, site_ord)) AS file_path FROM p GROUP BY 1, 2, 3")
+@query(f"WITH p AS ({A.PENDING}) SELECT repo_id, def_file, symbol, count(*) AS usage_count, CAST(1 AS BIGINT) AS files_used_in, 'possible' AS shadow_level, arg_min(file_path, (file_ord, site_ord)) AS file_path FROM p GROUP BY 1, 2, 3")
 def g3_synthetic_shadows(spark, d):
     p = A.run(spark, d, A.PENDING).withColumns({"component_name": F.lit("X"), "local_lib_id": F.lit("kit")})
     return counters.synthetic_shadows(p).drop("component_name", "local_lib_id")
@@ -316,7 +316,7 @@ def t8_last_entry(spark, d):
     return routes.last_entry(x).select("repo_id", "path", "page")
 
 
-@query("WITH x AS (SELECT concat('/', split_part(url, '/', 4)) AS parent, split_part(split_part(url, '/', 5), '?', 1) AS child FROM pages) SELECT parent, child, CASE WHEN child = '' THEN CASE WHEN parent = '' THEN '/' ELSE parent END WHEN child LIKE '/%' THEN child ELSE regexp_replace(parent, '/+$', '') || '/' || child END AS joined FROM x")
+@query("WITH x AS (SELECT concat('/', split_part(url, '/', 4)) AS parent, split_part(split_part(url, '/', 5), '?', 1) AS child FROM pages) SELECT parent, child, CASE WHEN child = '' THEN CASE WHEN parent = '' THEN '/' ELSE parent END WHEN child LIKE '/%' THEN child ELSE regexp_replace(parent, '/$', '') || '/' || child END AS joined FROM x")
 def t1_join_path(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
     x = pages.select(F.concat(F.lit("/"), F.split_part("url", F.lit("/"), F.lit(4))).alias("parent"), F.split_part(F.split_part("url", F.lit("/"), F.lit(5)), F.lit("?"), F.lit(1)).alias("child"))

@@ -150,8 +150,7 @@ def scan(spark: SparkSession, c: C.Config, repos: list[C.Repo]) -> Scan:
 
     # usages, stage A
     elements = facts.select("repo_id", "file", F.explode("elements").alias("e")).select("repo_id", "file", "e.*")
-    bound = elements.drop("base").join(F.broadcast(spark.range(1).select(F.lit(1).alias("one")))).drop("one")
-    bound = bound.withColumn("base", X.base_name(F.col("tag"))).join(imports.withColumnRenamed("local", "base"), ["repo_id", "file", "base"], "left")
+    bound = elements.join(imports.withColumnRenamed("local", "base"), ["repo_id", "file", "base"], "left")
     bound = rules.stage_a(bound.withColumn("resolved_kind", F.col("kind")))
     in_library, has = F.col("rule") == 4, F.col("source").isNotNull()
     bound = checkpoint(bound.withColumns({
