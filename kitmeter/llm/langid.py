@@ -19,7 +19,6 @@ row; other columns are ignored by ``identify``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,8 +42,6 @@ MARGIN = 0.75
 #: Texts of fewer n-grams reach less; their bound falls with the square root of the number.
 FULL_LENGTH = 400
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 #: Bytes that are no letter as a space.
 _FOLDED = np.full(256, 32, np.uint8)
 _FOLDED[97:123] = np.arange(97, 123)
@@ -157,7 +154,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
 
 def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score, rejected of each text."""
-    letters = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
+    letters = np.array([bool(t) and next(filter(str.isalpha, t), "") != "" for t in texts.to_pylist()], bool)
     if model is None or not len(letters):
         return ["und"] * len(letters), np.zeros(len(letters)), np.ones(len(letters), bool)
     found = counts(texts)
@@ -171,12 +168,9 @@ def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray
     return names, np.where(letters, score, 0.0), rejected
 
 
-def identify(docs: DataFrame, model: Model | None = None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected of each document, and the columns in ``keep``."""
-    model = model or fit(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [x for x in keep or [] if x != "doc_id"]
-    # carried columns travel under numbers, as their names may clash with ours
+def _identified(docs: DataFrame, model: Model | None, kept: list[str]) -> DataFrame:
+    """Predictions, and the kept columns under numbers, as their names may clash with ours."""
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     rows = docs.select(F.col("doc_id"), F.col("text"), held_out().alias("held_out"), *[F.col(f"`{x}`").alias(f"__{k}") for k, x in enumerate(kept)])
     extra = [f for f in rows.schema if f.name.startswith("__")]
     id_kind = rows.schema["doc_id"].dataType.simpleString()
@@ -188,10 +182,17 @@ def identify(docs: DataFrame, model: Model | None = None, keep: list[str] | None
                 names, score, rejected = predict(sent.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected), *(part.column(f.name) for f in extra)], names=["doc_id", "held_out", "lang_pred", "score", "rejected", *(f.name for f in extra)])
 
-    out = rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Model | None = None, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of each document, and the columns in ``keep``."""
+    kept = [x for x in keep or [] if x != "doc_id"]
+    out = _identified(docs, model, kept)
     return out.withColumnsRenamed({f"__{k}": x for k, x in enumerate(kept)}) if kept else out
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return identify(docs, keep=docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    stays = _identified(docs, model, docs.columns).where(~F.col("rejected"))
+    return stays.select(*[F.col(f"__{k}").alias(x) for k, x in enumerate(docs.columns)])

@@ -77,6 +77,12 @@ def test_language(spark):
     assert kept.columns == df.columns and kept.count() == 400
 
 
+def test_language_clashing_names(spark):
+    df = spark.createDataFrame([(1, "some words of a text here", "en", 0.5, True), (2, "12", "en", 0.1, False)], "doc_id long, text string, lang string, score double, rejected boolean")
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "some words of a text here", "en", 0.5, True)]
+
+
 def test_language_empty(empty):
     assert langid.identify(empty).count() == 0 and langid.keep_identified(empty).count() == 0
 
@@ -149,6 +155,17 @@ def test_jaccard_empty_and_repeated(spark, empty):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("n", [1, 2, 500])
+def test_postings_round_trip(n):
+    import zstandard
+
+    rows = np.zeros(n, jaccard._ROW)
+    rows["h"] = np.sort(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+    rows["node"], rows["n"], rows["pos"] = np.arange(n) << 33, 500, 3
+    back = jaccard.unpack_rows(jaccard.pack_rows(rows, zstandard.ZstdCompressor(level=1)), zstandard.ZstdDecompressor())
+    assert (back == rows).all()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(100)]
