@@ -179,6 +179,20 @@ def cut_rows(own: np.ndarray, heads: np.ndarray, df: np.ndarray, share: int) ->
 _ROW = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
+def pack_rows(rows: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Postings in hash order as byte planes of steps, which compress to about half."""
+    out = rows.copy()
+    out["h"][1:] -= rows["h"][:-1]
+    return press.compress(np.ascontiguousarray(out.view(np.uint8).reshape(len(out), -1).T).tobytes())
+
+
+def unpack_rows(blob: bytes, open_: zstandard.ZstdDecompressor) -> np.ndarray:
+    planes = np.frombuffer(open_.decompress(blob), np.uint8).reshape(_ROW.itemsize, -1)
+    rows = np.array(planes.T, order="C").reshape(-1).view(_ROW)
+    rows["h"] = np.cumsum(rows["h"], dtype=np.uint64)
+    return rows
+
+
 def list_pairs(rows: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (a < b) of nodes and their overlap counts in the postings of a block, without those that sizes or places exclude."""
     rows = rows[np.lexsort((rows["n"], rows["h"]))]
@@ -311,9 +325,9 @@ class Join:
         ranges, share = self.ranges, self.share
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            press = zstandard.ZstdCompressor(level=1)
             for batch in batches:
-                for start in range(0, batch.num_rows, 4000):
-                    part = batch.slice(start, 4000)
+                for part in common.chunks(batch, "light", 8 * common.CHUNK_BYTES):
                     rows = []
                     for node, n, light in zip(part.column("node").to_pylist(), part.column("n").to_pylist(), part.column("light").to_pylist()):
                         h = np.frombuffer(light, "<u8")
@@ -325,10 +339,11 @@ class Join:
                     cut = np.searchsorted(every["h"], [np.uint64((k << 64) // ranges) for k in range(ranges)])
                     cut = np.append(cut, len(every))
                     there = [k for k in range(ranges) if cut[k] < cut[k + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([every[cut[k] : cut[k + 1]].tobytes() for k in there], pa.binary())], names=["range", "rows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([pack_rows(every[cut[k] : cut[k + 1]], press) for k in there], pa.binary())], names=["range", "rows"])
 
         def multiply(part: pd.DataFrame) -> pd.DataFrame:
-            a, b, c = list_pairs(np.frombuffer(b"".join(part["rows"]), _ROW), share)
+            open_ = zstandard.ZstdDecompressor()
+            a, b, c = list_pairs(np.concatenate([unpack_rows(x, open_) for x in part["rows"]]), share)
             return pd.DataFrame({"a": a, "b": b, "overlap": c})
 
         postings = self.nodes.select("node", "n", "light").mapInArrow(deal, "range int, rows binary")
@@ -349,10 +364,9 @@ class Join:
 
         return bounded.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(bound, "a long, b long")
 
-    def _sets_of(self, nodes: DataFrame) -> DataFrame:
-        """(node, own): the whole sets of some nodes, from the texts."""
+    def _sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(fp, own): the whole sets of some nodes (node, doc_id, fp), from the texts; dealt by fp."""
         n = self.n
-        wanted = common.checkpoint(nodes.join(self.nodes.select("node", "doc_id", "fp"), "node"))
         ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
         near = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         texts = self.docs.join(near, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
@@ -363,10 +377,9 @@ class Join:
                     own = {digest(x): x for x in sets(part.column("text"), n) if len(x)}
                     yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(map(_binary, own.values()), pa.binary())], names=["fp", "own"])
 
-        found = texts.mapInArrow(run, "fp binary, own binary").groupBy("fp").agg(F.first("own").alias("own"))
-        return wanted.select("node", "fp").join(found, "fp").select("node", "own")
+        return texts.mapInArrow(run, "fp binary, own binary").groupBy("fp").agg(F.first("own").alias("own"))
 
-    def _light_links(self, pairs: DataFrame, own: DataFrame) -> DataFrame:
+    def _light_links(self, pairs: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
         """Links among candidate pairs: the sets of a node's partners meet the node's own."""
         share = self.share
         sides = pairs.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(pairs.select(F.col("a").alias("at"), F.col("a").alias("node")).distinct())
@@ -378,7 +391,9 @@ class Join:
             out = [b for b, x in rows.items() if len(np.intersect1d(mine, x, assume_unique=True)) >= needed(np.int64(len(mine)), np.int64(len(x)), share)]
             return pd.DataFrame({"a": np.full(len(out), at, np.int64), "b": np.array(out, np.int64)})
 
-        return sides.join(own, "node").groupBy("at").applyInPandas(verify, "a long, b long")
+        # narrow rows get their fp first, so the sets are not dealt anew for the join
+        named = sides.join(wanted.select("node", "fp"), "node")
+        return named.join(own, "fp").select("at", "node", "own").groupBy("at").applyInPandas(verify, "a long, b long")
 
     def _heavy_groups(self) -> DataFrame:
         """(node, component) of rows that share heavy prefix n-grams."""
@@ -393,7 +408,7 @@ class Join:
         least = rows.groupBy("h").agg(F.min("node").alias("a"))
         return graph.components(rows.join(least, "h").select("a", F.col("node").alias("b")))
 
-    def _heavy_links(self, groups: DataFrame, own: DataFrame) -> DataFrame:
+    def _heavy_links(self, groups: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
         """A spanning forest of the links inside each group, block by block."""
         share = self.share
         blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
@@ -417,15 +432,17 @@ class Join:
             kept = np.array(forest(links), np.int64).reshape(-1, 2)
             return pd.DataFrame({"a": nodes[kept[:, 0]], "b": nodes[kept[:, 1]]})
 
-        return placed.join(own, "node").groupBy("component", "x", "y").applyInPandas(multiply, "a long, b long")
+        named = placed.join(wanted.select("node", "fp"), "node")
+        return named.join(own, "fp").drop("fp").groupBy("component", "x", "y").applyInPandas(multiply, "a long, b long")
 
     def links(self) -> DataFrame:
         """(a, b) of nodes; of groups of heavy rows only a spanning forest."""
         pairs = common.checkpoint(self._candidates())
         groups = common.checkpoint(self._heavy_groups())
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
+        wanted = common.checkpoint(wanted.join(self.nodes.select("node", "doc_id", "fp"), "node"))
         own = self._sets_of(wanted)
-        return self._light_links(pairs, own).unionByName(self._heavy_links(groups, own))
+        return self._light_links(pairs, wanted, own).unionByName(self._heavy_links(groups, wanted, own))
 
 
 def classes(docs: DataFrame, n: int = NGRAM, share: int = SHARE) -> DataFrame:
