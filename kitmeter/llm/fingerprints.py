@@ -40,6 +40,9 @@ from . import common
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+#: Tasks over which the documents of one digest are dealt.
+SALTS = 32
+
 #: doc_id of a row without one, for the order only.
 _NONE = -(1 << 63)
 
@@ -103,9 +106,11 @@ def fingerprints(docs: DataFrame, hasher: Callable[[bytes], str] = digest) -> Da
     upto = F.array_size(F.filter(F.array(*map(F.lit, borders)), lambda b: b > key)).cast("int") if borders else F.lit(0)
 
     own = common.checkpoint(digests(rows, hasher))
-    twice = own.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    marked = own.join(twice.withColumn("twice", F.lit(True)), "digest", "left").select("doc_id", F.coalesce("twice", F.lit(False)).alias("twice"))
-    marks = marked.where("twice").select("doc_id").distinct()
+    twice = own.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    # a digest of many documents is dealt over SALTS tasks
+    twice = twice.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    marks = salted.join(twice, ["digest", "salt"], "left_semi").select("doc_id").distinct()
 
     tops = {r["part"]: r["top"] for r in rows.select(upto.alias("part"), key.alias("k")).groupBy("part").agg(F.max("k").alias("top")).collect()}
     order = sorted(tops)
