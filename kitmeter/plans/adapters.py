@@ -50,6 +50,16 @@ SELECT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, concat('f', CAST(l
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 60 < 3
 """
 
+#: The two tables above without their modulo filters: every lineitem row.
+EDGE_ALL = """
+SELECT DISTINCT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, l_partkey % 97 AS src, (l_partkey * 31 + l_linenumber) % 97 AS dst FROM lineitem
+"""
+
+ROUTE_USAGE_ALL = """
+SELECT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, concat('f', CAST(l_partkey % 199 AS STRING)) AS file, o_orderpriority AS path
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+"""
+
 UNRESOLVED = """
 SELECT concat('repo-', CAST(user_id % 10 AS STRING)) AS repo_id, event_type, event_id, concat('src/e', CAST(event_id % 50 AS STRING), '.tsx') AS file_path FROM events
 """

@@ -310,6 +310,25 @@ def t10_bind_files(spark, d):
     return routes.bind_files(files, b).select("repo_id", "file", "route.kind", "route.path", F.array_join("route.paths", ",").alias("paths"))
 
 
+# t7_reachable and t10_bind_files above run over a part of lineitem, as their SQL does; these two over all of it
+
+
+@query(f"WITH RECURSIVE e AS ({A.EDGE_ALL}), r(repo_id, root, node) AS (SELECT DISTINCT repo_id, src, src FROM e UNION SELECT r.repo_id, root, dst FROM r JOIN e ON r.repo_id = e.repo_id AND r.node = e.src) SELECT repo_id, root, node FROM r")
+def t7_reachable_all(spark, d):
+    e = A.run(spark, d, A.EDGE_ALL)
+    return closures.reachable(e, e.select("repo_id", F.col("src").alias("root")).distinct(), 97).drop("hops")
+
+
+_ROUTE_ALL = f"WITH b AS (SELECT DISTINCT repo_id, file, path FROM ({A.ROUTE_USAGE_ALL}) z), f AS (SELECT DISTINCT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, concat('f', CAST(l_partkey % 199 AS STRING)) AS file FROM lineitem)"
+
+
+@query(f"{_ROUTE_ALL}, g AS (SELECT repo_id, file, count(*) AS n, string_agg(path, ',' ORDER BY path) AS p FROM b GROUP BY 1, 2) SELECT f.repo_id, f.file, CASE WHEN n IS NULL THEN 'unmapped' WHEN n = 1 THEN 'bound' ELSE 'shared' END AS kind, CASE WHEN n = 1 THEN p END AS path, CASE WHEN n > 1 THEN p END AS paths FROM f LEFT JOIN g USING (repo_id, file)")
+def t10_bind_files_all(spark, d):
+    b = A.run(spark, d, A.ROUTE_USAGE_ALL)
+    files = A.run(spark, d, "SELECT DISTINCT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, concat('f', CAST(l_partkey % 199 AS STRING)) AS file FROM lineitem ")
+    return routes.bind_files(files, b).select("repo_id", "file", "route.kind", "route.path", F.array_join("route.paths", ",").alias("paths"))
+
+
 @query("WITH x AS (SELECT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, concat('/p', CAST(l_partkey % 40 AS STRING)) AS path, l_partkey AS page, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS ord FROM lineitem) SELECT repo_id, path, arg_max(page, ord) AS page FROM x GROUP BY 1, 2")
 def t8_last_entry(spark, d):
     x = A.run(spark, d, "SELECT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, concat('/p', CAST(l_partkey % 40 AS STRING)) AS path, l_partkey AS page, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS ord FROM lineitem ")

@@ -220,6 +220,26 @@ def test_queries_without_sql(spark, sf_dir):
         assert queries.queries()[name](spark, sf_dir).count() >= 0
 
 
+def test_whole_closures_against_brute_force(spark, sf_dir):
+    rows = duckdb.sql(f"SELECT l_suppkey % 5, l_partkey, l_linenumber, o_orderpriority FROM '{sf_dir}/lineitem.parquet' JOIN '{sf_dir}/orders.parquet' ON l_orderkey = o_orderkey").fetchall()
+    edges, paths = {}, {}
+    for repo, part, line, path in rows:
+        edges.setdefault((f"r{repo}", part % 97), set()).add((part * 31 + line) % 97)
+        paths.setdefault((f"r{repo}", f"f{part % 199}"), set()).add(path)
+    want = set()
+    for repo, root in edges:
+        seen, frontier = {root}, {root}
+        while frontier:
+            frontier = {y for x in frontier for y in edges.get((repo, x), ())} - seen
+            seen |= frontier
+        want |= {(repo, root, x) for x in seen}
+    assert {tuple(r) for r in queries.queries()["t7_reachable_all"](spark, sf_dir).select("repo_id", "root", "node").collect()} == want
+    got = {(r["repo_id"], r["file"]): r for r in queries.queries()["t10_bind_files_all"](spark, sf_dir).collect()}
+    assert set(got) == set(paths)
+    for key, found in paths.items():
+        assert got[key]["kind"] == ("bound" if len(found) == 1 else "shared") and (got[key]["path"] or got[key]["paths"]) == ",".join(sorted(found))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
