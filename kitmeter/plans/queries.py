@@ -413,6 +413,13 @@ def o1_dataset_order(spark, d):
 _SQL["o1_dataset_order"] = _SQL["o1_dataset_order"].replace("component_name LIMIT", "component_name, bucket LIMIT")
 
 
+@query(f"{_U} SELECT repo_id, file_path, line, col, component_name, bucket FROM u ORDER BY repo_id, file_path, line, col, component_name, bucket")
+def o1_dataset_order_all(spark, d):
+    """The whole sorted table, where o1_dataset_order and its SQL end after 500 rows."""
+    u = A.usage(spark, d).select("repo_id", "file_path", "line", "col", "component_name", "bucket")
+    return u.orderBy("repo_id", "file_path", "line", "col", "component_name", "bucket")
+
+
 @query(f"{_U} SELECT repo_id, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines, CAST(sum(col) AS BIGINT) AS columns, count(ds_package) AS packages FROM u GROUP BY 1")
 def s7_jsonl_round_trip(spark, d):
     from ..schema import USAGE

@@ -240,6 +240,11 @@ def test_whole_closures_against_brute_force(spark, sf_dir):
         assert got[key]["kind"] == ("bound" if len(found) == 1 else "shared") and (got[key]["path"] or got[key]["paths"]) == ",".join(sorted(found))
 
 
+def test_whole_dataset_order(spark, sf_dir):
+    got = [tuple(r) for r in queries.queries()["o1_dataset_order_all"](spark, sf_dir).collect()]
+    assert len(got) == adapters.usage(spark, sf_dir).count() > 500 and got == sorted(got)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
