@@ -9,13 +9,15 @@ with c, with t anywhere, and with t in the context of c. With N documents,
 
 and the disclosure PMI / IC is 1 for a term that occurs nowhere but beside c.
 From REMOVE on a term is removed, from GENERALISE on it is generalised; either
-adds a span of kind ``term``. A pair needs SUPPORT documents, so what occurs once
-reveals nothing. (Sanchez and Batet's C-sanitisation, with protected entities
+adds a span of kind ``term`` wherever the term occurs in any document, with the
+highest disclosure of its pairs. A pair needs SUPPORT documents, so what occurs
+once reveals nothing. (Sanchez and Batet's C-sanitisation, with protected entities
 found by their form.)
 
-All documents are counted. Text is read twice: once for entities and contexts,
-once for the frequencies of the terms that pairs need, which are sent in blocks
-of at most BLOCK terms. Tasks send sums, never texts.
+All documents are counted. Text is read three times: for entities and contexts,
+for the frequencies of the terms that pairs need, and for the places of the
+revealing ones; terms are sent in blocks of about BLOCK. Tasks send sums and places,
+never texts.
 
 Defined cases: null is the empty text; repeated rows each count and get their
 row; other columns are ignored by ``scan`` and kept by ``sanitise``. Places are
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +104,25 @@ def entity(text: str, kind: int) -> int:
     return _key(f"{kind}:{text.translate(_FOLD) if kind < 2 else re.sub('[^0-9]', '', text)}")
 
 
+def outside(words: list[tuple], spans: list[tuple[int, int, int]]) -> list[tuple]:
+    """The words, (start, end, ...) in order, that touch no span."""
+    if not spans:
+        return words
+    edges = []  # spans joined where they overlap
+    for s, _, e in spans:
+        if edges and s < edges[-1][1]:
+            edges[-1][1] = max(edges[-1][1], e)
+        else:
+            edges.append([s, e])
+    out, k = [], 0
+    for w in words:
+        while k < len(edges) and edges[k][1] <= w[0]:
+            k += 1
+        if k == len(edges) or w[1] <= edges[k][0]:
+            out.append(w)
+    return out
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(entity, term hash, start, end) of the words around each entity; words in base spans are none."""
     out = []
@@ -112,9 +134,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
             if len(words) >= 2 * CONTEXT or m.start() - end > 48 * CONTEXT:
                 break
             words.append((m.start(), m.end()))
-        for a, b in words:
-            if not any(s < b and a < e for s, _, e in spans) and not text[a:b].isdecimal():
-                out.append((c, a, b))
+        out += [(c, a, b) for a, b in outside(words, spans) if not text[a:b].isdecimal()]
     if not out:
         return []
     data, offsets = common.utf8(pa.array([text[a:b] for _, a, b in out], pa.string()))
@@ -122,15 +142,21 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     return [(c, int(h), a, b) for (c, a, b), h in zip(out, hashes)]
 
 
-_PASS = "doc_id long, counts array<long>, base array<string>, pairs array<struct<c:long,t:long,s:int,e:int>>"
+_PASS = "doc_id long, key binary, counts array<long>, base array<string>, pairs array<struct<c:long,t:long>>"
+
+
+def _row_key(doc: int | None, text: str | None) -> bytes:
+    """Joins what two passes find in a row; rows of one key are equal."""
+    return xxhash.xxh3_128_digest(f"{doc}:{text or ''}".encode())
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pair = pa.struct([("c", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+    pair = pa.struct([("c", pa.int64()), ("t", pa.int64())])
     for batch in batches:
         for part in common.chunks(batch):
-            counts, base, pairs = [], [], []
-            for text in part.column("text").to_pylist():
+            keys, counts, base, pairs = [], [], [], []
+            for doc, text in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), part.column("text").to_pylist()):
+                keys.append(_row_key(doc, text))
                 spans = base_spans(text) if text else []
                 own = [0, 0, 0, 0]
                 for _, k, _ in spans:
@@ -138,8 +164,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.append(own)
                 base.append([f"{KINDS[k]}:{s}:{e}" for s, k, e in spans])
                 own = {entity(text[s:e], k) for s, k, e in spans}
-                pairs.append([{"c": c, "t": None, "s": None, "e": None} for c in own] + [dict(zip("ctse", x)) for x in contexts(text, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(base, pa.list_(pa.string())), pa.array(pairs, pa.list_(pair))], names=["doc_id", "counts", "base", "pairs"])
+                pairs.append([{"c": c, "t": None} for c in own] + [{"c": c, "t": t} for c, t in {x[:2] for x in contexts(text, spans)}] if spans else [])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.list_(pa.int64())), pa.array(base, pa.list_(pa.string())), pa.array(pairs, pa.list_(pair))], names=["doc_id", "key", "counts", "base", "pairs"])
 
 
 def _frequencies(docs: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -165,6 +191,49 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("nt"))
 
 
+def _blocks(terms: DataFrame) -> Iterator[list]:
+    """The rows of a table of distinct terms ``t``, sorted, in blocks of about BLOCK."""
+    blocks = math.ceil(terms.count() / BLOCK)
+    for k in range(blocks):
+        own = terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
+        found = sorted(own.collect(), key=lambda r: r["t"])
+        if found:
+            yield found
+
+
+def _places(rows: DataFrame, terms: np.ndarray, disclosure: np.ndarray) -> DataFrame:
+    """(key, terms) of the rows that hold any of the terms (sorted hashes), with each place outside base spans."""
+    sent = rows.sparkSession.sparkContext.broadcast((terms, disclosure))
+    place = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("disclosure", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, value = sent.value
+        for batch in batches:
+            for part in common.chunks(batch):
+                data, offsets = common.utf8(part.column("text"))
+                low = common.LOWER[data]
+                starts, ends, counts = common.words(low, offsets, common.ALNUM)
+                h = common.word_hashes(low, starts, ends).view(np.int64)
+                at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+                known = np.flatnonzero(own[at] == h)
+                doc = np.repeat(np.arange(len(counts)), counts)[known]
+                # code points before each byte
+                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                s, e = points[starts[known]] - points[offsets[doc]], points[ends[known]] - points[offsets[doc]]
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                keys, places = [], []
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)]):
+                    k = int(doc[a])
+                    text = part.column("text")[k].as_py()
+                    free = outside(list(zip(s[a:b].tolist(), e[a:b].tolist(), value[at[known[a:b]]].tolist())), base_spans(text))
+                    if free:
+                        keys.append(_row_key(part.column("doc_id")[k].as_py(), text))
+                        places.append([dict(zip(("s", "e", "disclosure"), x)) for x in free])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.list_(place))], names=["key", "terms"])
+
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key binary, terms array<struct<s:int,e:int,disclosure:double>>")
+
+
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(c, t, disclosure) of the pairs whose disclosure reaches GENERALISE."""
     n = found.count()
@@ -173,17 +242,12 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     alone = pairs.select("__row", "c").distinct().groupBy("c").agg(F.count("*").alias("nc"))
     joint = common.checkpoint(joint)
     needed = joint.select("t").distinct()
-    size = needed.count()
-    if not size:
-        return joint.select("c", "t", F.lit(0.0).alias("disclosure")).limit(0)
-    blocks = math.ceil(size / BLOCK)
     parts = None
-    for k in range(blocks):
-        own = needed if blocks == 1 else needed.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
-        terms = np.sort(np.array([r[0] for r in own.collect()], np.int64))
-        if len(terms):
-            f = _frequencies(docs, terms)
-            parts = f if parts is None else parts.unionByName(f)
+    for block in _blocks(needed):
+        f = _frequencies(docs, np.array([r["t"] for r in block], np.int64))
+        parts = f if parts is None else parts.unionByName(f)
+    if parts is None:
+        return joint.select("c", "t", F.lit(0.0).alias("disclosure")).limit(0)
     pmi = F.log2(F.lit(float(n)) * F.col("nct") / (F.col("nc") * F.col("nt")))
     ic = F.log2(F.lit(float(n)) / F.col("nc"))
     scored = joint.join(parts, "t").join(alone, "c").where(F.col("nc") < n).withColumn("disclosure", pmi / ic)
@@ -194,12 +258,17 @@ def detected(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base (strings kind:start:end) and terms, an array of (s, e, disclosure); one row for each document, and ``__row``."""
     rows = common.text_column(docs, "doc_id", "text")
     found = common.checkpoint(rows.mapInArrow(_first_pass, _PASS).withColumn("__row", F.monotonically_increasing_id()))
-    revealing = disclosures(rows, found)
-    terms = found.select("__row", F.explode("pairs").alias("x")).select("__row", "x.*").where("t IS NOT NULL").join(revealing, ["c", "t"])
-    terms = terms.groupBy("__row", "s", "e").agg(F.max("disclosure").alias("disclosure"))
-    terms = terms.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "disclosure"))).alias("terms"))
     none = F.array().cast("array<struct<s:int,e:int,disclosure:double>>")
-    return found.drop("pairs").join(terms, "__row", "left").withColumn("terms", F.coalesce("terms", none))
+    revealing = common.checkpoint(disclosures(rows, found).groupBy("t").agg(F.max("disclosure").alias("disclosure")))
+    placed = None
+    for block in _blocks(revealing):
+        p = _places(rows, np.array([r["t"] for r in block], np.int64), np.array([r["disclosure"] for r in block]))
+        placed = p if placed is None else placed.unionByName(p)
+    if placed is None:
+        return found.drop("pairs", "key").withColumn("terms", none)
+    # a row's places come from each block, and equal rows have them all
+    placed = placed.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
+    return found.drop("pairs").join(placed, "key", "left").drop("key").withColumn("terms", F.coalesce("terms", none))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -518,3 +518,21 @@ def test_pii_terms(spark):
     assert got == want and all("Zebulon" in {data[k][1][s:e] for s, e in got[k]} for k in range(5))
     clean = by_id(pii.sanitise(df))
     assert "Zebulon" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and clean[100]["text"] == data[100][1]
+
+
+def test_pii_terms_far_from_the_entity(spark, monkeypatch):
+    rng = random.Random(10)
+    far = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    data = [(k, f"{far(5)} Zebulon mail zeb@corp.example") for k in range(12)]
+    data += [(12, f"é zebulon {far(40)} Zebulon zeb@corp.example {far(300)} ZEBULON"), (13, f"日本 {far(30)} Zebulon without an entity"), (14, "Zebulon's zebulons")]
+    data += [(k, far(30)) for k in range(15, 300)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for block in (pii.BLOCK, 1):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        found = by_id(pii.scan(df))
+        for k, t in data:
+            spans = {tuple(map(int, x.split(":")[1:])) for x in found[k]["spans"].split(",") if x.startswith("term")}
+            assert {m.span() for m in re.finditer(r"(?i)(?<![0-9a-z])zebulon(?![0-9a-z])", t)} <= spans
+            assert len(spans) == found[k]["n_term"]
+    clean = by_id(pii.sanitise(df))
+    assert not any(re.search(r"(?i)zebulon\b", clean[k]["text"]) for k in range(15))
