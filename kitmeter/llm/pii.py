@@ -26,6 +26,7 @@ code points, the end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -54,7 +55,8 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{3,40}")
+#: The words of ``common.ALNUM``, of any length.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = {65 + k: 97 + k for k in range(26)}
 
 
@@ -124,22 +126,24 @@ def outside(words: list[tuple], spans: list[tuple[int, int, int]]) -> list[tuple
 
 
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term hash, start, end) of the words around each entity; words in base spans are none."""
+    """(entity, term hash, start, end) of the CONTEXT nearest words on either side of each entity,
+    however far; words in base spans are none."""
+    if not spans:
+        return []
+    words = outside([m.span() for m in _WORD.finditer(text)], spans)
+    begins = [a for a, _ in words]
     out = []
     for start, kind, end in spans:
         c = entity(text[start:end], kind)
-        lead = max(0, start - 48 * CONTEXT)
-        words = [(m.start(), m.end()) for m in _WORD.finditer(text, lead, start)][-CONTEXT:]
-        for m in _WORD.finditer(text, end):
-            if len(words) >= 2 * CONTEXT or m.start() - end > 48 * CONTEXT:
-                break
-            words.append((m.start(), m.end()))
-        out += [(c, a, b) for a, b in outside(words, spans) if not text[a:b].isdecimal()]
-    if not out:
+        at = bisect.bisect_left(begins, start)
+        out += [(c, w) for w in range(max(0, at - CONTEXT), min(at + CONTEXT, len(words)))]
+    # each word is hashed once, however many entities stand beside it
+    used = sorted({w for _, w in out if not text[slice(*words[w])].isdecimal()})
+    if not used:
         return []
-    data, offsets = common.utf8(pa.array([text[a:b] for _, a, b in out], pa.string()))
-    hashes = common.word_hashes(common.LOWER[data], offsets[:-1], offsets[1:]).view(np.int64)
-    return [(c, int(h), a, b) for (c, a, b), h in zip(out, hashes)]
+    data, offsets = common.utf8(pa.array([text[slice(*words[w])] for w in used], pa.string()))
+    hashes = dict(zip(used, common.word_hashes(common.LOWER[data], offsets[:-1], offsets[1:]).view(np.int64).tolist()))
+    return [(c, hashes[w], *words[w]) for c, w in out if w in hashes]
 
 
 _PASS = "doc_id long, key binary, counts array<long>, base array<string>, pairs array<struct<c:long,t:long>>"

@@ -536,3 +536,19 @@ def test_pii_terms_far_from_the_entity(spark, monkeypatch):
             assert len(spans) == found[k]["n_term"]
     clean = by_id(pii.sanitise(df))
     assert not any(re.search(r"(?i)zebulon\b", clean[k]["text"]) for k in range(15))
+
+
+def test_pii_context_words_of_any_length(spark):
+    long = "x" * 60
+    t = f"{'y' * 500} qz 王明 {long} zeb@corp.example 7 {'z' * 900} ab"
+    words = [t[a:b] for _, _, a, b in pii.contexts(t, pii.base_spans(t))]
+    assert words == ["y" * 500, "qz", "王明", long, "z" * 900, "ab"]
+    many = " ".join(f"w{k}" for k in range(30))
+    t = f"a@b.cc {many} 1.2.3.4tail {many}"
+    assert [t[a:b] for _, _, a, b in pii.contexts(t, pii.base_spans(t)[:1])] == [f"w{k}" for k in range(pii.CONTEXT)]
+    filler = " ".join(WORDS[:6])
+    data = [(k, f"{filler} qz 王明 {long} zeb@corp.example") for k in range(5)] + [(k, filler) for k in range(5, 100)]
+    found = by_id(pii.scan(spark.createDataFrame(data, "doc_id long, text string")))
+    for k in range(5):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in found[k]["spans"].split(",") if x.startswith("term")]
+        assert [data[k][1][s:e] for s, e in spans] == ["qz", "王明", long]
