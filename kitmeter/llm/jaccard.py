@@ -21,7 +21,8 @@ transpose is never formed whole:
 5. Rows that reach into heavy columns are mostly text that is repeated often, as
    large groups of near copies. They are grouped by the heavy columns they share
    (connected components) and each group is multiplied block by block, BLOCK rows
-   to a block, which gives a spanning forest of the links, not all pairs.
+   to a block, which gives the number of links of each row, and a spanning forest
+   of the links for the components, so all pairs are counted and none is stored.
 6. Components of the links are found by star contraction (``graph``).
 
 Any order gives the same links, so a bound on the heavy set changes the work
@@ -36,7 +37,8 @@ texts' equals; a null doc_id counts as the largest; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -221,7 +223,7 @@ def _binary(x: np.ndarray) -> bytes:
     return x.tobytes()
 
 
-def product_links(a: list[np.ndarray], b: list[np.ndarray] | None, share: int = SHARE) -> list[tuple[int, int]]:
+def product_links(a: list[np.ndarray], b: list[np.ndarray] | None, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of two blocks (of one block if b is None): a dense product over the columns that occur twice, in slices."""
     rows = a if b is None else a + b
     sizes = np.array([len(x) for x in rows], np.int64)
@@ -246,10 +248,10 @@ def product_links(a: list[np.ndarray], b: list[np.ndarray] | None, share: int =
     i, j = np.nonzero(overlap >= need)
     j = j + right
     ok = i < j
-    return list(zip(i[ok].tolist(), j[ok].tolist()))
+    return i[ok], j[ok]
 
 
-def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def forest(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """As few of the links as connect the same rows."""
     parent: dict[int, int] = {}
 
@@ -291,7 +293,7 @@ class Join:
         return self.docs.mapInArrow(run, "doc_id long, n long, fp binary")
 
     def _nodes(self) -> DataFrame:
-        """node, doc_id, n, fp, light, heavy, cells of each distinct set, one row for each set and task sent."""
+        """node, doc_id, n, fp, light, heavy, cells, and copies, the documents of the set, of each distinct set; a task sends one row for each set and chunk."""
         n, share = self.n, self.share
         sent = self.spark.sparkContext.broadcast((self.heads, self.df))
 
@@ -300,10 +302,12 @@ class Join:
             for batch in batches:
                 for part in common.chunks(batch):
                     kept: dict[bytes, tuple] = {}
+                    copies: Counter[bytes] = Counter()
                     for doc, own in zip(part.column("doc_id").to_pylist(), sets(part.column("text"), n)):
                         fp = digest(own)
                         if fp is None:
                             continue
+                        copies[fp] += 1
                         if fp in kept:
                             old = kept[fp][0]
                             if doc is not None and (old is None or doc < old):
@@ -312,12 +316,12 @@ class Join:
                         light, heavy = cut_rows(own, heads, df, share)
                         cells = np.bincount((own >> np.uint64(14)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
                         kept[fp] = (doc, len(own), fp, *map(_binary, (light, heavy, cells.astype("<u2" if cells.max() < 65536 else "<u4"))))
-                    columns = list(zip(*kept.values())) or [()] * 6
-                    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "fp", "light", "heavy", "cells"])
+                    columns = [*(list(zip(*kept.values())) or [()] * 6), [copies[fp] for fp in kept]]
+                    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "fp", "light", "heavy", "cells", "copies"])
 
-        rows = self.docs.mapInArrow(run, "doc_id long, n int, fp binary, light binary, heavy binary, cells binary")
-        one = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), *[F.first(x).alias(x) for x in ("n", "light", "heavy", "cells")])
+        rows = self.docs.mapInArrow(run, "doc_id long, n int, fp binary, light binary, heavy binary, cells binary, copies long")
+        one = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), *[F.first(x).alias(x) for x in ("n", "light", "heavy", "cells")])
         return common.checkpoint(one.withColumn("node", F.monotonically_increasing_id()))
 
     def _candidates(self) -> DataFrame:
@@ -409,7 +413,8 @@ class Join:
         return graph.components(rows.join(least, "h").select("a", F.col("node").alias("b")))
 
     def _heavy_links(self, groups: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
-        """A spanning forest of the links inside each group, block by block."""
+        """Of the links inside each group, block by block: a spanning forest (a, b), and rows
+        (a, null, links) whose sum for a node is the number of documents it links with."""
         share = self.share
         blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
         placed = groups.join(blocks, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
@@ -419,41 +424,57 @@ class Join:
 
         def multiply(part: pd.DataFrame) -> pd.DataFrame:
             x, y = part["x"].iloc[0], part["y"].iloc[0]
+            if x != y:
+                part = part.sort_values("side")
             rows = [np.frombuffer(v, "<u8") for v in part["own"]]
-            nodes = part["node"].to_numpy()
-            if x == y:
-                links = product_links(rows, None, share)
-            else:
-                mine = (part["side"] == x).to_numpy()
-                order = np.concatenate((np.flatnonzero(mine), np.flatnonzero(~mine)))
-                nodes = nodes[order]
-                m = int(mine.sum())
-                links = product_links([rows[k] for k in order[:m]], [rows[k] for k in order[m:]], share)
-            kept = np.array(forest(links), np.int64).reshape(-1, 2)
-            return pd.DataFrame({"a": nodes[kept[:, 0]], "b": nodes[kept[:, 1]]})
-
-        named = placed.join(wanted.select("node", "fp"), "node")
-        return named.join(own, "fp").drop("fp").groupBy("component", "x", "y").applyInPandas(multiply, "a long, b long")
-
-    def links(self) -> DataFrame:
-        """(a, b) of nodes; of groups of heavy rows only a spanning forest."""
+            nodes, copies = part["node"].to_numpy(), part["copies"].to_numpy()
+            m = int((part["side"] == x).sum())
+            i, j = product_links(rows, None, share) if x == y else product_links(rows[:m], rows[m:], share)
+            linked = np.zeros(len(rows), np.int64)
+            np.add.at(linked, i, copies[j])
+            np.add.at(linked, j, copies[i])
+            kept = np.array(forest(zip(i.tolist(), j.tolist())), np.int64).reshape(-1, 2)
+            some = np.flatnonzero(linked)
+            a, b = np.append(nodes[kept[:, 0]], nodes[some]), np.append(nodes[kept[:, 1]], np.zeros(len(some), np.int64))
+            counts = np.append(np.zeros(len(kept), np.int64), linked[some])
+            return pd.DataFrame({"a": a, "b": pd.Series(b, dtype="Int64").mask(counts > 0), "links": counts})
+
+        named = placed.join(wanted.select("node", "fp", "copies"), "node")
+        return named.join(own, "fp").drop("fp").groupBy("component", "x", "y").applyInPandas(multiply, "a long, b long, links long")
+
+    def _light_counts(self, light: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(a, null, links) for the links that the products of the groups don't count."""
+        side = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_group"))
+        new = light.join(side("a"), "a", "left").join(side("b"), "b", "left").where("a_group IS NULL OR b_group IS NULL OR a_group <> b_group")
+        both = new.select("a", "b").unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        counted = both.join(wanted.select(F.col("node").alias("b"), "copies"), "b")
+        return counted.groupBy("a").agg(F.sum("copies").alias("links")).select("a", F.lit(None).cast("long").alias("b"), "links")
+
+    def counted_links(self) -> DataFrame:
+        """Rows (a, b, 0), links that connect every component, and rows (a, null, links): the sum of
+        these for a node is the number of documents of other sets that its documents link with."""
         pairs = common.checkpoint(self._candidates())
         groups = common.checkpoint(self._heavy_groups())
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
-        wanted = common.checkpoint(wanted.join(self.nodes.select("node", "doc_id", "fp"), "node"))
+        wanted = common.checkpoint(wanted.join(self.nodes.select("node", "doc_id", "fp", "copies"), "node"))
         own = self._sets_of(wanted)
-        return self._light_links(pairs, wanted, own).unionByName(self._heavy_links(groups, wanted, own))
+        found = common.checkpoint(self._light_links(pairs, wanted, own).withColumn("links", F.lit(0).cast("long")).unionByName(self._heavy_links(groups, wanted, own).withColumn("heavy", F.lit(True)), allowMissingColumns=True))
+        light = found.where("heavy IS NULL").select("a", "b")
+        return found.drop("heavy").unionByName(self._light_counts(light, groups, wanted))
 
 
 def classes(docs: DataFrame, n: int = NGRAM, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
+    """doc_id, n_shingles, component_id of each document, and n_links, the number of other documents (rows) it links with."""
     join = Join(docs, n, share)
-    member = graph.components(common.checkpoint(join.links()))
-    named = join.nodes.select("node", "fp", "doc_id").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = join.counted_links()
+    member = graph.components(found.where("b IS NOT NULL").select("a", "b"))
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    named = join.nodes.select("node", "fp", "doc_id", "copies").join(member, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = named.join(least, "component").select("fp", "component_id")
+    by_set = named.join(least, "component").select("fp", "component_id", "n_links")
     signed = join.signed().withColumnRenamed("n", "n_shingles")
-    return signed.join(by_set, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed.join(by_set, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, n: int = NGRAM, share: int = SHARE) -> DataFrame:

@@ -19,7 +19,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(_documents(spark, sf_dir))
+    return jaccard.classes(_documents(spark, sf_dir)).drop("n_links")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,21 @@ def test_jaccard_empty_and_repeated(spark, empty):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    data = near_copies(6, 3, 50)
+    data += [(10_000 + k, data[k][1], "en", 0) for k in range(30)] + [(20_000, None, "en", 0), (20_001, "", "en", 0)]
+    data += [(30_000 + k, " ".join(f"v{i}" for i in range(40)) + f" x{k}", "en", 0) for k in range(4)]
+    sets = {}
+    for k, t, *_ in data:
+        w = (t or "").lower().split()
+        sets[k] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    want = {a: sum(a != b and bool(x & y) and 100 * len(x & y) >= 85 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, n_chars long")
+    assert {k: r["n_links"] for k, r in by_id(jaccard.classes(df)).items()} == want and max(want.values()) > 10
+
+
 @pytest.mark.parametrize("n", [1, 2, 500])
 def test_postings_round_trip(n):
     import zstandard
