@@ -14,7 +14,8 @@ change the order between the two reads. No window over all rows is needed, and
 the text itself is never shuffled.
 
 Quantile borders come from all rows; there are at most 2^BITS - 1 of them for
-each dimension, whatever the input.
+each dimension, whatever the input. Those of strings are whole strings, found by a
+running sum over the counts of their values.
 
 Defined cases: null text counts as empty (size 1, checksum 0); null metadata
 sort before all other values; repeated rows each get a slot; the empty table
@@ -36,26 +37,45 @@ ACCURACY = 2000
 DIMENSIONS = ("source", "lang", "size")
 
 
-def _number(column: Column, kind: str) -> Column:
-    """A number in the order of the column: of strings the first seven bytes; null is the least."""
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+def _number(column: Column) -> Column:
+    """A number in the order of the column; null is the least."""
     return F.coalesce(column.cast("double"), F.lit(float("-inf")))
 
 
+def _string_borders(df: DataFrame, x: str, cells: int) -> list[str | None]:
+    """The quantile borders of a string column, whole strings, from the counts of its values; null is the least."""
+    counts = df.groupBy(F.col(x).alias("v")).agg(F.count("*").alias("n"))
+    placed = counts.repartitionByRange(common.parallelism(df.sparkSession), "v").sortWithinPartitions("v")
+    placed = common.checkpoint(placed.withColumn("__p", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in placed.groupBy("__p").agg(F.sum("n").alias("n")).orderBy("__p").collect():
+        before[r["__p"]] = total
+        total += r["n"]
+    if not total:
+        return []
+    start = F.element_at(F.create_map(*[F.lit(k).cast("long") for kv in before.items() for k in kv]), F.col("__p").cast("long"))
+    upto = placed.withColumn("__to", start + F.sum("n").over(Window.partitionBy("__p").orderBy("v")))
+    # the k-th border is the value of row ceil(k total / cells)
+    at = lambda to: F.floor(to * cells / F.lit(total))
+    return [r["v"] for r in upto.where(F.least(at(F.col("__to")), F.lit(cells - 1)) > at(F.col("__to") - F.col("n"))).select("v").collect()]
+
+
 def cells(df: DataFrame, dimensions: tuple[str, ...], bits: int = BITS) -> DataFrame:
     """Adds ``__cell``, the array of quantile cells (0 to 2^bits - 1) of the dimensions."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    numbers = {x: _number(F.col(x), kinds[x]) for x in dimensions}
+    strings = {x for x in dimensions if dict(df.dtypes)[x] == "string"}
+    numbers = {x: _number(F.col(x)) for x in dimensions if x not in strings}
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    borders = df.agg(*[F.percentile_approx(numbers[x], steps, ACCURACY).alias(x) for x in dimensions]).first()
+    borders = df.agg(*[F.percentile_approx(c, steps, ACCURACY).alias(x) for x, c in numbers.items()]).first() if numbers else {}
+
+    def below(found: list, value: Column) -> Column:
+        return F.array_size(F.filter(F.array(*map(F.lit, found)), lambda b: b < value)).cast("int") if found else F.lit(0)
 
     def cell(x: str) -> Column:
-        found = sorted({float(b) for b in borders[x] or []})
-        if not found:
-            return F.lit(0)
-        return F.array_size(F.filter(F.array(*map(F.lit, found)), lambda b: b < numbers[x])).cast("int")
+        if x not in strings:
+            return below(sorted({float(b) for b in borders[x] or []}), numbers[x])
+        found = _string_borders(df, x, 1 << bits)
+        whole = [b for b in found if b is not None]
+        return F.when(F.col(x).isNull(), 0).otherwise(below(whole, F.col(x)) + len(found) - len(whole))
 
     return df.withColumn("__cell", F.array(*[cell(x) for x in dimensions]))
 

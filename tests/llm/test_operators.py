@@ -276,6 +276,19 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_string_cells(spark):
+    rng = random.Random(3)
+    names = [None, "", "é", *(f"common_crawl_{k}" for k in range(2010, 2022)), *(f"https://host{k}.example" for k in range(50))]
+    data = [(rng.choice(names[: rng.randint(1, len(names))]),) for _ in range(3000)]
+    key = lambda v: (v is not None, (v or "").encode())
+    ordered = sorted((v for v, in data), key=key)
+    borders = {ordered[-(-k * len(ordered) // 32) - 1] for k in range(1, 32)}
+    got = sharding.cells(spark.createDataFrame(data, "source string"), ("source",)).collect()
+    assert all(r["__cell"] == [sum(key(b) < key(r["source"]) for b in borders)] for r in got)
+    assert len({r["__cell"][0] for r in got if (r["source"] or "").startswith("common_crawl")}) > 3
+    assert len(got) == len(data)
+
+
 def test_hilbert_is_a_curve(spark):
     from pyspark.sql import functions as F
 
