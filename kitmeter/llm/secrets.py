@@ -13,12 +13,22 @@ Only rows that hold a candidate are looked at closely. Nothing is shuffled.
 Places are code points, the end exclusive. They are the lengths of the pieces
 between matches added up, so no position function is needed.
 
+Texts of any length: no expression repeats a group unless possessively, so the
+regular expression engine's stack does not grow with a text; the counts of a
+window are a few packed numbers, so a character costs the same in any candidate;
+and lists of matches are walked in blocks of the root of their length (``walk``),
+so n matches cost n^1.5 copies of a number, not n^2 of a match.
+
 Defined cases: a null or empty text has no spans; repeated rows each get their
-row; other columns are ignored by ``scan`` and kept by ``redact``.
+row; other columns are ignored by ``scan`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +43,7 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: Candidate strings of the method: whole runs of at least 20 characters with a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 
-#: Character classes: expression of the whole candidate, window, least entropy in bits.
+#: Character classes: expression of the whole candidate, window (at most 30), least entropy in bits.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 16, 2.9), ("base64", r"^[A-Za-z0-9+/_=-]+$", 20, 3.7))
 
 #: Harmless strings: parts, and whole forms (words joined by separators, numbers, UUIDs, sequences).
@@ -45,24 +55,56 @@ ALLOW_FORMS = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)$",
 )
+#: The same form for an engine that backtracks by recursion: nothing that is taken is given back.
+_POSSESSIVE = {ALLOW_FORMS[2]: r"^(?:[A-Za-z]++[0-9]{0,4}+[/_=+-]++)++[A-Za-z]*+[0-9]{0,4}+$"}
 
 SPAN = "struct<start:int,kind:int,name:string,end:int>"
 _KINDS = ("assign", "access", "hex", "entropy")
 
+#: c*log2(c) is held in steps of 2^-40, so that a window's sum is exact however far it slides.
+_SCALE = 1 << 40
+#: Counts of five bits, twelve to a number.
+_PACKED = 12
+_ALPHABETS = {"hex": "0123456789abcdefABCDEF", "base64": string.digits + string.ascii_letters + "+/_=-"}
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def walk(items: Column, state: int, step: Callable[[Column, Column], Column]) -> Column:
+    """The states (integers) after each item of an array: ``step(state, item)`` gives the next.
+    They are gathered block by block, as what is gathered is copied at each step."""
+    last = lambda out: F.element_at(out, -1)
+    rest = lambda out: F.slice(out, F.lit(2), F.size(out))
+    # the first of a block's states is the one before it
+
+    def one(done: Column, block: Column) -> Column:
+        before = F.array(last(last(done)))
+        return F.concat(done, F.array(F.aggregate(block, before, lambda out, item: F.concat(out, F.array(step(last(out), item).cast("int"))))))
+
+    start = F.array(F.array(F.lit(state).cast("int")))
+    whole = F.aggregate(blocks(items), start, one, lambda done: F.flatten(F.transform(rest(done), rest)))
+    return F.coalesce(whole, F.array().cast("array<int>"))
 
-def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """All matches of a pattern as structs in order, with their strings."""
+
+def blocks(items: Column) -> Column:
+    """An array cut into runs of the root of its length; null for an empty one."""
+    length = F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / length).cast("int")), lambda k: F.slice(items, k * length + 1, length)))
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """All matches of a pattern in order as (start, end, string)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,string:string>>").alias("out"))
 
-    def step(a: Column, m: Column) -> Column:
-        begin = a["at"] + F.length(m["g"])
-        end = begin + F.length(m["s"])
-        return F.struct(end.cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), m["s"].alias("string")))).alias("out"))
+    def placed(found: Column) -> Column:
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, s: F.length(g) + F.length(s))
+        return F.zip_with(_let(sizes, lambda x: walk(x, 0, lambda at, n: at + n)), found, lambda end, s: F.struct((end - F.length(s)).alias("start"), end.alias("end"), s.alias("string")))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.greatest(F.size(found), F.lit(0))), lambda s, g: F.struct(s.alias("s"), g.alias("g")))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    return _let(found, placed)
 
 
 def _kept(spans: Column, keep, kind: str) -> Column:
@@ -75,58 +117,80 @@ def _allowed(s: Column) -> Column:
     for x in ALLOW_PARTS:
         out = out | s.contains(x)
     for x in ALLOW_FORMS:
-        out = out | s.rlike(x)
+        out = out | s.rlike(_POSSESSIVE.get(x, x))
     return out
 
 
-def high_entropy(s: Column, window: int, threshold: float) -> Column:
+def high_entropy(s: Column, alphabet: str, window: int, threshold: float) -> Column:
     """struct(first, last): the first start and the last end of windows of at least
-    ``threshold`` bits in a string, or null. State: counts by character code, and
-    the sum of c*log2(c), both changed by what enters and what leaves."""
-    weight = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    codes = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substr(s, i, F.lit(1))))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-
-    def enter(a: Column, code: Column) -> Column:
-        c = F.get(a["n"], code)
-        return F.struct(F.transform(a["n"], lambda v, j: F.when(j == code, v + 1).otherwise(v)).alias("n"), (a["sum"] - weight(c) + weight(c + 1)).alias("sum"), (a["i"] + 1).alias("i"), a["first"].alias("first"), a["last"].alias("last"))
-
-    def leave(a: Column, code: Column) -> Column:
-        c = F.get(a["n"], code)
-        return F.struct(F.transform(a["n"], lambda v, j: F.when(j == code, v - 1).otherwise(v)).alias("n"), (a["sum"] - weight(c) + weight(c - 1)).alias("sum"), a["i"].alias("i"), a["first"].alias("first"), a["last"].alias("last"))
-
-    def judge(a: Column) -> Column:
-        bits = F.log2(F.lit(float(window))) - a["sum"] / window
-        high = (a["i"] >= window) & (bits >= threshold)
-        return F.struct(a["n"].alias("n"), a["sum"].alias("sum"), a["i"].alias("i"), F.when(high & a["first"].isNull(), a["i"] - window).otherwise(a["first"]).alias("first"), F.when(high, a["i"]).otherwise(a["last"]).alias("last"))
-
-    # each step is applied to a one-element array, so that its state is computed once
-    then = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))
-    moves = F.zip_with(codes, F.concat(F.array_repeat(F.lit(None).cast("int"), window), codes), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    moves = F.slice(moves, F.lit(1), F.length(s))
+    ``threshold`` bits in a string of characters of an alphabet, or null. State: packed counts
+    by character, and the sum of c*log2(c), both changed by what enters and what leaves."""
+    if window > 30:
+        raise ValueError("counts are packed in five bits")
+    most = math.floor((math.log2(window) - threshold) * window * _SCALE)
+    weight = [round(c * math.log2(c) * _SCALE) if c else 0 for c in range(window + 2)]
+    more = F.array(*[F.lit(weight[c + 1] - weight[c]) for c in range(window + 1)])
+    less = F.array(F.lit(0).cast("long"), *[F.lit(weight[c] - weight[c - 1]) for c in range(1, window + 1)])
+    numbers = -(-len(alphabet) // _PACKED)
+    # where a character is counted: number, shift, one of it; what leaves before the first window is at an empty place
+    places = {ord(x): (k // _PACKED, k % _PACKED * 5, 1 << k % _PACKED * 5) for k, x in enumerate(alphabet)}
+    place = lambda at, shift, one: F.struct(F.lit(at).alias("at"), F.lit(shift).alias("shift"), F.lit(one).cast("long").alias("one"))
+    nowhere = place(0, 5 * _PACKED, 0)
+    table = F.array(*[place(*places[c]) if c in places else nowhere for c in range(128)])
+
+    def count(a: Column, x: Column) -> Column:
+        return F.call_function("shiftright", F.get(a["n"], x["at"]), x["shift"]).bitwiseAND(F.lit(31)).cast("int")
+
+    def high(a: Column) -> Column:
+        return (a["i"] >= window) & (a["sum"] <= most)
 
     def step(a: Column, m: Column) -> Column:
-        left = F.when(m["y"].isNull(), a).otherwise(leave(a, m["y"]))
-        return then(then(left, lambda b: enter(b, m["x"])), judge)
+        x, y = m["x"], m["y"]
+        n = F.transform(a["n"], lambda v, j: v + F.when(j == x["at"], x["one"]).otherwise(0) - F.when(j == y["at"], y["one"]).otherwise(0))
+        changed = a["sum"] + F.get(more, count(a, x)) - F.get(less, count(a, y))
+        same = (x["one"] == y["one"]) & (x["at"] == y["at"])
+        # the window before this character is judged here, the last one at the end
+        return F.struct(n.alias("n"), F.when(same, a["sum"]).otherwise(changed).alias("sum"), (a["i"] + 1).alias("i"), F.when((a["first"] < 0) & high(a), a["i"] - window).otherwise(a["first"]).alias("first"), F.when(high(a), a["i"]).otherwise(a["last"]).alias("last"))
 
-    return F.aggregate(moves, start, step, lambda a: F.when(a["first"].isNotNull(), F.struct(a["first"].alias("first"), a["last"].alias("last"))))
+    def found(a: Column) -> Column:
+        first = F.when((a["first"] < 0) & high(a), a["i"] - window).otherwise(a["first"])
+        return F.when(first >= 0, F.struct(first.alias("first"), F.when(high(a), a["i"]).otherwise(a["last"]).alias("last")))
+
+    def whole(entering: Column) -> Column:
+        leaving = F.concat(F.array_repeat(nowhere, window), F.slice(entering, F.lit(1), F.size(entering) - window))
+        moves = F.zip_with(entering, leaving, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+        return F.aggregate(moves, start, step, found)
+
+    return F.when(F.length(s) >= window, _let(F.transform(F.split(s, ""), lambda c: F.get(table, F.ascii(c))), whole))
 
 
 def _entropy_spans(text: Column) -> Column:
-    found = F.filter(_spans(text, CANDIDATE, "entropy"), lambda x: x["string"].rlike("[0-9]") & ~_allowed(x["string"]))
+    found = F.filter(_spans(text, CANDIDATE), lambda x: x["string"].rlike("[0-9]") & ~_allowed(x["string"]))
 
     def judged(x: Column) -> Column:
         out = F.lit(None).cast("struct<first:int,last:int>")
-        for _, form, window, threshold in reversed(CLASSES):
-            out = F.when(x["string"].rlike(form), high_entropy(x["string"], window, threshold)).otherwise(out)
+        for name, form, window, threshold in reversed(CLASSES):
+            out = F.when(x["string"].rlike(form), high_entropy(x["string"], _ALPHABETS[name], window, threshold)).otherwise(out)
         return F.struct(x["start"].alias("at"), out.alias("hit"))
 
     hits = F.filter(F.transform(found, judged), lambda x: x["hit"].isNotNull())
     return F.transform(hits, lambda x: F.struct((x["at"] + x["hit"]["first"]).alias("start"), F.lit(3).alias("kind"), F.lit("entropy").alias("name"), (x["at"] + x["hit"]["last"]).alias("end"))).cast(f"array<{SPAN}>")
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``__base`` and ``__spans``, arrays of (start, kind, name, end) in order."""
+def _free(spans: Column) -> Column:
+    """Spans in order without the entropy spans that meet another one: a base span that starts
+    before ends later (seen forwards), or one that starts after starts inside (seen backwards)."""
+    entropy = lambda x: x["kind"] == 3
+    ended = walk(spans, 0, lambda end, x: F.when(entropy(x), end).otherwise(F.greatest(end, x["end"])))
+    started = F.reverse(_let(F.reverse(spans), lambda back: walk(back, (1 << 31) - 1, lambda start, x: F.when(entropy(x), start).otherwise(x["start"]))))
+    around = F.zip_with(ended, started, lambda a, b: F.struct(a.alias("ended"), b.alias("started")))
+    seen = F.zip_with(spans, around, lambda x, a: F.struct(x.alias("span"), (entropy(x) & ((a["ended"] > x["start"]) | (a["started"] < x["end"]))).alias("met")))
+    return F.transform(F.filter(seen, lambda x: ~x["met"]), lambda x: x["span"])
+
+
+def with_spans(docs: DataFrame, text: str = "text", base: str = "__base", spans: str = "__spans") -> DataFrame:
+    """Adds two columns, arrays of (start, kind, name, end) in order: the base spans, and all spans."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     none = F.array().cast(f"array<{SPAN}>")
     # cheap gates first: most texts hold none of the marks
@@ -144,13 +208,12 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     pattern = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
     # a shorter match of the hex class can't be kept and takes nothing from a longer one: runs are disjoint
     pattern["hex"] = r"(?<![0-9a-f])[0-9a-f]{32,}"
-    df = docs
-    for k in ("assign", "access", "hex"):
-        df = df.withColumn(f"__{k}", F.when(gate[k], _kept(_spans(t, pattern[k], k), long_enough[k], k)).otherwise(none))
-    df = df.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex"))).drop("__assign", "__access", "__hex")
-    df = df.withColumn("__entropy", F.when(gate["entropy"], _entropy_spans(t)).otherwise(none))
-    free = F.filter("__entropy", lambda e: ~F.exists("__base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return df.withColumn("__spans", F.array_sort(F.concat("__base", free))).drop("__entropy")
+    found = [F.when(gate[k], _kept(_spans(t, pattern[k]), long_enough[k], k)).otherwise(none) for k in ("assign", "access", "hex")]
+    df = docs.withColumn(base, F.sort_array(F.concat(*found)))
+    df = df.withColumn(spans, F.when(gate["entropy"], _entropy_spans(t)).otherwise(none))
+    every = F.sort_array(F.concat(base, spans))
+    both = (F.size(base) > 0) & (F.size(spans) > 0)
+    return df.withColumn(spans, F.when(both, _let(every, _free)).otherwise(every))
 
 
 def _joined(spans: str) -> Column:
@@ -167,18 +230,33 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span (joined where they overlap) replaced by ``mark``;
     n_chars, where there is one, is set to the new length. Texts without spans stay as they are."""
-    df = with_spans(docs)
-    t = F.col("text")
-
-    def step(a: Column, x: Column) -> Column:
-        inside = x["start"] < a["at"]
-        piece = F.when(inside, F.lit("")).otherwise(F.concat(F.substr(t, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], piece).alias("out"))
-
-    whole = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1, F.length(t))))
-    changed = F.size("__spans") > 0
-    out = df.withColumn("__new", F.when(changed, whole).otherwise(t))
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    own = [f"c{k}" for k in range(len(names))]
+    text = own[names.index("text")]
+    df = with_spans(docs.toDF(*own), text, "base", "spans")
+    t = F.col(text)
+
+    def pieces(ends: Column) -> Column:
+        """What stays before each span; a span that starts inside earlier ones adds nothing."""
+        before = F.zip_with(F.concat(F.array(F.lit(0)), ends), "spans", lambda at, x: F.struct(at.alias("at"), x["start"].alias("start")))
+        before = F.slice(before, F.lit(1), F.size("spans"))
+
+        def cut(block: Column) -> Column:
+            # places are counted in the short string of a block
+            base = F.get(block, F.lit(0))["at"]
+            part = F.substr(t, base + 1, F.greatest(F.lit(0), F.element_at(block, -1)["start"] - base))
+            piece = lambda own, x: F.when(x["start"] < x["at"], F.lit("")).otherwise(F.concat(F.substr(own, x["at"] - base + 1, x["start"] - x["at"]), F.lit(mark)))
+            return _let(part, lambda own: F.array_join(F.transform(block, lambda x: piece(own, x)), ""))
+
+        head = _let(before, lambda x: F.array_join(F.transform(blocks(x), cut), ""))
+        return F.concat(head, F.substr(t, F.element_at(ends, -1) + 1, F.length(t)))
+
+    changed = F.size("spans") > 0
+    ends = walk(F.col("spans"), 0, lambda at, x: F.greatest(at, x["end"]))
+    new = F.when(changed, _let(ends, pieces)).otherwise(t)
+    out = df.withColumn("new", new)
+    if "n_chars" in names:
+        n = own[names.index("n_chars")]
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(changed, F.length("__new")).otherwise(F.col("n_chars")).cast(kind))
-    return out.withColumn("text", F.col("__new")).select(*docs.columns)
+        out = out.withColumn(n, F.when(changed, F.length("new")).otherwise(F.col(n)).cast(kind))
+    return out.withColumn(text, F.col("new")).select(*own).toDF(*names)

@@ -469,6 +469,39 @@ def test_secrets(spark, empty):
     assert secrets.redact(df).columns == df.columns and secrets.scan(empty).count() == 0
 
 
+def test_secrets_long_texts(spark):
+    """What recursion or a quadratic step would not survive: long paths, one long candidate, many matches."""
+    rng = random.Random(12)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/"
+    texts = ["a1/b" * 50_000, "x/" * 30_000 + "1", "".join(rng.choice(chars) for _ in range(60_000)), "token" + " " * 50_000 + "= abcdefgh"]
+    texts.append(" ".join(f"password=abcdefgh{k} x{rng.getrandbits(128):032x} {''.join(rng.choice(chars) for _ in range(24))}" for k in range(1500)))
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    found = by_id(secrets.scan(df))
+    show = lambda x: ",".join(f"{n}:{a}:{b}" for a, _, n, b in x)
+    for k, t in enumerate(texts):
+        base = brute_secrets(t)
+        more = [e for e in brute_entropy(t) if not any(a < e[3] and e[0] < b for a, _, _, b in base)]
+        assert found[k]["spans"] == show(sorted(base + more))
+    clean = by_id(secrets.redact(df))
+    assert clean[0]["text"] == texts[0] and clean[2]["text"] == "[SECRET]" and clean[3]["text"] == "[SECRET]"
+    # the same text by cutting at the spans themselves
+    out, at = [], 0
+    for x in found[4]["spans"].split(","):
+        _, s, e = x.split(":")
+        if int(s) >= at:
+            out += [texts[4][at : int(s)], "[SECRET]"]
+        at = max(at, int(e))
+    assert clean[4]["text"] == "".join(out) + texts[4][at:] and clean[4]["n_chars"] == len(clean[4]["text"])
+
+
+def test_secrets_any_column_names(spark):
+    names = ["a.b", "__spans", "text", "spans", "c0", "doc_id", "new"]
+    df = spark.createDataFrame([("p", 1, "é password: 12345678 z", "s", "c", 7, "n"), (None, None, None, None, None, None, None)], "a string, b int, c string, d string, e string, f long, g string").toDF(*names)
+    got = secrets.redact(df)
+    assert got.columns == names and [tuple(r) for r in got.orderBy("doc_id").collect()] == [(None,) * 7, ("p", 1, "é [SECRET] z", "s", "c", 7, "n")]
+    assert secrets.scan(df.union(df)).count() == 4
+
+
 # --- op10
 
 PII = [
