@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
@@ -101,31 +102,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_BYTES = mix((np.arange(1, 257, dtype=np.uint64)) * np.uint64(0xD1342543DE82EF95))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        m = max(n, CHUNK_BYTES + 1)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(m, b, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Longer words are hashed one by one.
+_LONG = 512
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: differences of prefix sums of a polynomial over
-    random byte values, brought to a common power and mixed with the length."""
-    if not len(starts):
+    """64-bit hashes of byte ranges: eight bytes at a time are mixed in by a bijection, so
+    words of one length of up to eight bytes never share a hash, and no family of longer words does by its form."""
+    n = len(starts)
+    if not n:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[:-1], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    length = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix(length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(0x9E3779B97F4A7C15))
+    h = mix(h ^ (lanes[starts] & _MASKS[np.minimum(length, 8)]))
+    live, k = np.flatnonzero((length > 8) & (length <= _LONG)), 8
+    while len(live):
+        lane = lanes[starts[live] + k] & _MASKS[np.minimum(length[live] - k, 8)]
+        h[live] = mix(h[live] * np.uint64(0xD1342543DE82EF95) ^ lane)
+        k += 8
+        live = live[length[live] > k]
+    for i in np.flatnonzero(length > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h
 
 
 def text_column(df: DataFrame, *names: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Every round replaces the edges of a node by edges to the least node it sees, so
 chains shorten by half; a round writes its edges to the checkpoint folder. Least
 neighbours are aggregates (combined before the shuffle) joined back to the
-edges, so no list of neighbours is ever gathered.
+edges, so no list of neighbours is ever gathered. The edges of a node are dealt
+over SALTS keys, so those of a hub never meet in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,15 @@ from pyspark.sql import functions as F
 from . import common
 
 ROUNDS = 60
+SALTS = 64
+
+
+def with_least(edges: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds ``m``, the least ``value`` of all rows of the same ``key``, however many they are."""
+    salted = edges.withColumn("s", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "s").agg(F.min(value).alias("m"))
+    whole = parts.groupBy(key).agg(F.min("m").alias("m"))
+    return salted.join(parts.select(key, "s").join(whole, key), [key, "s"]).drop("s")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,10 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).distinct()
+        large = with_least(both, "v", "u").where("u > v").select(F.col("u").alias("v"), F.least("v", "m").alias("u")).distinct()
+        small = with_least(large, "v", "u")
+        small = small.select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).distinct()
         e, after = _settled(small)
         if after == state:
             break

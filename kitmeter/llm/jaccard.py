@@ -13,10 +13,10 @@ transpose is never formed whole:
    that puts light before heavy ones, and heavy ones by frequency, two sets that
    link share an n-gram among their first n - ceil(0.85 n) + 1.
 4. Light columns: the postings of a block of hashes meet in one task, which
-   accumulates overlap counts of pairs and discards those whose sizes, or whose
-   places in the two rows, bound the overlap below what 0.85 needs. Lists are
-   short, since frequent n-grams come last. What is left is bounded once more by
-   per-block set sizes: the overlap is at most the sum of the smaller counts of
+   accumulates overlap counts of pairs and discards those whose sizes bound the
+   overlap below what 0.85 needs. Lists are short, since frequent n-grams come last. The counts of a pair are added up, and
+   the pair goes unless they and what either row has left can reach the need.
+   What is left is bounded once more by per-block set sizes: the overlap is at most the sum of the smaller counts of
    n-grams in each of CELLS blocks. Then whole sets are compared.
 5. Rows that reach into heavy columns are mostly text that is repeated often, as
    large groups of near copies. They are grouped by the heavy columns they share
@@ -63,8 +63,15 @@ RANGE_BYTES = 8 << 20
 BROADCAST_ROWS = 500_000
 
 _FLUSH = 1 << 21
+#: Pairs of a block of postings that are looked at in one step.
+_PAIRS = 1 << 20
 _SHIFT = np.uint64(20)
-_MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+_FIXED = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+
+
+def multiplier(k: int) -> np.uint64:
+    """The odd number of the k-th word of an n-gram."""
+    return _FIXED[k] if k < len(_FIXED) else common.mix(np.array([k], np.uint64))[0] | np.uint64(1)
 
 
 def sets(texts: pa.Array, n: int = NGRAM) -> list[np.ndarray]:
@@ -75,7 +82,7 @@ def sets(texts: pa.Array, n: int = NGRAM) -> list[np.ndarray]:
     h = common.word_hashes(data, starts, ends)
     grams = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for k in range(n):
-        grams += h[k : k + len(grams)] * _MULTIPLIERS[k % 8]
+        grams += h[k : k + len(grams)] * multiplier(k)
     grams = common.mix(grams)
     out, at = [], 0
     for c in counts.tolist():
@@ -151,16 +158,7 @@ def _heavy(docs: DataFrame, n: int, ranges: int) -> tuple[np.ndarray, np.ndarray
 
     found = docs.select("text").mapInArrow(run, "range int, blob binary").groupBy("range").applyInPandas(count, "h long, df long")
     found = common.checkpoint(found)
-    level = F.floor(F.log2("df") * 8).cast("int")
-    left, least = HEAVY_MOST, None
-    for r in found.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if r["count"] > left:
-            break
-        left -= r["count"]
-        least = r["level"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    kept = found.where(level >= least).toPandas().sort_values("h")
+    kept = found.orderBy(F.desc("df"), "h").limit(HEAVY_MOST).toPandas().sort_values("h")
     return kept["h"].to_numpy().astype(np.uint64), kept["df"].to_numpy()
 
 
@@ -178,7 +176,7 @@ def cut_rows(own: np.ndarray, heads: np.ndarray, df: np.ndarray, share: int) ->
     return own[:p], own[:0]
 
 
-_ROW = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+_ROW = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<i4")])
 
 
 def pack_rows(rows: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
@@ -196,21 +194,30 @@ def unpack_rows(blob: bytes, open_: zstandard.ZstdDecompressor) -> np.ndarray:
 
 
 def list_pairs(rows: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a < b) of nodes and their overlap counts in the postings of a block, without those that sizes or places exclude."""
+    """Pairs (a < b) of nodes and their overlap counts in the postings of a block, without those that sizes exclude."""
     rows = rows[np.lexsort((rows["n"], rows["h"]))]
     first = np.flatnonzero(np.concatenate(([True], rows["h"][1:] != rows["h"][:-1])))
     length = np.diff(np.append(first, len(rows)))
     found: list[np.ndarray] = []
-    for m in np.unique(length[length > 1]).tolist():
-        begins = first[length == m]
-        i, j = np.triu_indices(m, 1)
-        step = max(1, (1 << 19) // len(i))
-        for k in range(0, len(begins), step):
-            at = begins[k : k + step, None]
-            x, y = rows[(at + i).ravel()], rows[(at + j).ravel()]
-            need = needed(x["n"].astype(np.int64), y["n"].astype(np.int64), share)
-            ok = (np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) >= need) & (x["n"] >= need)
-            found.append(np.sort(np.stack((x["node"][ok], y["node"][ok]), 1), axis=1))
+    n, node = rows["n"].astype(np.int64), rows["node"]
+    # a row meets those after it in its list that are not too large to link with it
+    last = np.repeat(first + length, length)
+    most = n * 100 // share
+    if len(rows):
+        # ends of the runs (list, n <= most): lists are in order and n in order inside each
+        order = np.repeat(np.arange(len(first)), length)
+        wide = int(n.max()) + 1
+        last = np.minimum(last, np.searchsorted(order * wide + n, order * wide + np.minimum(most, wide - 1), side="right"))
+    meets = last - np.arange(len(rows)) - 1
+    upto = np.cumsum(meets)
+    at = 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, side="right")))
+        own = meets[at:end]
+        x = np.repeat(np.arange(at, end), own)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own) + x + 1
+        found.append(np.sort(np.stack((node[x], node[y]), 1), axis=1))
+        at = end
     if not found:
         return (np.zeros(0, np.int64),) * 3
     pairs = np.concatenate(found)
@@ -336,7 +343,7 @@ class Join:
                     for node, n, light in zip(part.column("node").to_pylist(), part.column("n").to_pylist(), part.column("light").to_pylist()):
                         h = np.frombuffer(light, "<u8")
                         own = np.empty(len(h), _ROW)
-                        own["h"], own["node"], own["n"], own["pos"] = h, node, n, np.arange(len(h))
+                        own["h"], own["node"], own["n"] = h, node, n
                         rows.append(own)
                     every = np.concatenate(rows)
                     every = every[np.argsort(every["h"], kind="stable")]
@@ -353,8 +360,10 @@ class Join:
         postings = self.nodes.select("node", "n", "light").mapInArrow(deal, "range int, rows binary")
         pairs = postings.groupBy("range").applyInPandas(multiply, "a long, b long, overlap long")
         pairs = pairs.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-        cells = self.nodes.select("node", "n", "cells")
-        bounded = pairs.join(cells.withColumnsRenamed({"node": "a", "n": "na", "cells": "ca"}), "a").join(cells.withColumnsRenamed({"node": "b", "n": "nb", "cells": "cb"}), "b")
+        cells = self.nodes.select("node", "n", "cells", (F.col("n") - F.octet_length("light") / 8).cast("int").alias("rest"))
+        bounded = pairs.join(cells.withColumnsRenamed({"node": "a", "n": "na", "cells": "ca", "rest": "ra"}), "a").join(cells.withColumnsRenamed({"node": "b", "n": "nb", "cells": "cb", "rest": "rb"}), "b")
+        # what is not counted yet comes, in the order of all n-grams, after the last counted one of either row
+        bounded = bounded.where(100 * (F.col("overlap") + F.greatest("ra", "rb")) + share * (F.col("overlap") + F.greatest("ra", "rb")) >= share * (F.col("na") + F.col("nb")))
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read = lambda x: np.frombuffer(x, "<u2" if len(x) == 2 * CELLS else "<u4").astype(np.int64)
@@ -409,8 +418,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), pa.array(node)], names=["h", "node"])
 
         rows = common.checkpoint(self.nodes.where(F.octet_length("heavy") > 0).select("node", "heavy").mapInArrow(split, "h long, node long"))
-        least = rows.groupBy("h").agg(F.min("node").alias("a"))
-        return graph.components(rows.join(least, "h").select("a", F.col("node").alias("b")))
+        return graph.components(graph.with_least(rows, "h", "node").select(F.col("m").alias("a"), F.col("node").alias("b")))
 
     def _heavy_links(self, groups: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
         """Of the links inside each group, block by block: a spanning forest (a, b), and rows
@@ -481,6 +489,9 @@ def keep_one(docs: DataFrame, n: int = NGRAM, share: int = SHARE) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with its own columns.
     Rows of one doc_id are one document; of them one row stays. Texts are not
     shuffled while what goes is small enough to be broadcast."""
+    names = docs.columns
+    own = [x if x in ("doc_id", "text") else f"c{k}" for k, x in enumerate(names)]
+    docs = docs.toDF(*own)
     found = common.checkpoint(classes(docs, n, share).select("doc_id", "component_id"))
     per = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
     per = common.checkpoint(per.where("rows > 1 OR NOT stays").select(F.col("doc_id").alias("__id"), "rows", "stays"))
@@ -490,5 +501,5 @@ def keep_one(docs: DataFrame, n: int = NGRAM, share: int = SHARE) -> DataFrame:
     once = docs.join(side(per.select("__id")), same, "left_anti")
     repeated = per.where("stays").select("__id")
     if repeated.isEmpty():
-        return once
-    return once.unionByName(docs.join(side(repeated), same, "left_semi").dropDuplicates(["doc_id"]))
+        return once.toDF(*names)
+    return once.unionByName(docs.join(side(repeated), same, "left_semi").dropDuplicates(["doc_id"])).toDF(*names)

@@ -55,6 +55,16 @@ def test_words_and_hashes():
     assert h[1] == h[2] and len({*h.tolist()}) == 5
 
 
+def test_words_of_regular_form_differ():
+    """Thue-Morse words, which share every polynomial hash modulo a power of two."""
+    words, flip = ["a"], str.maketrans("ab", "ba")
+    while len(words[-1]) < 1 << 12:
+        words.append(words[-1] + words[-1].translate(flip))
+    every = [y for x in words for y in (x, x.translate(flip))] + [f"{k:09d}" for k in range(2000)] + ["a" * k for k in range(2, 700)]
+    data, off = common.utf8(pa.array(every))
+    assert len(set(common.word_hashes(data, off[:-1], off[1:]).tolist())) == len(set(every))
+
+
 # --- op1
 
 
@@ -170,13 +180,31 @@ def test_jaccard_counts_every_link(spark, monkeypatch, block):
     assert {k: r["n_links"] for k, r in by_id(jaccard.classes(df)).items()} == want and max(want.values()) > 10
 
 
+def test_jaccard_exact_words_any_names_and_limits(spark, monkeypatch):
+    """Regular words, a column named as ours, and the limits at one: every n-gram but one counts as light, all joins are shuffles."""
+    a, flip = "a", str.maketrans("ab", "ba")
+    while len(a) < 1024:
+        a += a.translate(flip)
+    df = spark.createDataFrame([(1, a, 5), (2, a.translate(flip), 6), (3, None, 7)], "doc_id long, text string, x int").withColumnRenamed("x", "__id")
+    assert {k: r["component_id"] for k, r in by_id(jaccard.classes(df)).items()} == {1: 1, 2: 2, 3: 3}
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == 3
+    for name in ("HEAVY_MOST", "BROADCAST_ROWS", "_PAIRS"):
+        monkeypatch.setattr(jaccard, name, 1)
+    data = near_copies(8, 3, 40) + rows()[:0]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, n_chars long")
+    found = {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(jaccard.classes(df)).items()}
+    assert found == brute_classes(data)
+    assert {r["doc_id"] for r in jaccard.keep_one(df).collect()} == {c for _, c in found.values()}
+
+
 @pytest.mark.parametrize("n", [1, 2, 500])
 def test_postings_round_trip(n):
     import zstandard
 
     rows = np.zeros(n, jaccard._ROW)
     rows["h"] = np.sort(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
-    rows["node"], rows["n"], rows["pos"] = np.arange(n) << 33, 500, 3
+    rows["node"], rows["n"] = np.arange(n) << 33, 500
     back = jaccard.unpack_rows(jaccard.pack_rows(rows, zstandard.ZstdCompressor(level=1)), zstandard.ZstdDecompressor())
     assert (back == rows).all()
 
