@@ -1,20 +1,21 @@
 """Best-two-fit packing of tokenised documents into sequences of a fixed length.
 
 Each document is its token ids followed by one end id. Only documents longer
-than a sequence are cut, into full sequences; the remainder comes first. Pieces
-are dealt by a hash into groups of about GROUP documents and packed group by
+than a sequence are cut, into full sequences; the remainder comes first. Full
+pieces are sequences of their own at once. The others are dealt evenly into groups
+of about GROUP pieces, by a hash of all that tells them apart, and packed group by
 group: a bin is filled greedily with the largest piece that fits; then its
 smallest piece is replaced by the two unpacked pieces that fit the widened gap
-most tightly, where these fill the bin better. Full pieces need no partner. The
-packer works on a histogram of lengths, so a group costs O(pieces + lengths^2)
-whatever its order.
+most tightly, where these fill the bin better. The packer works on a histogram of
+lengths, so a group costs O(pieces + lengths^2) whatever its order.
 
-Only lengths are shuffled, never tokens. A group's size is bounded by the
-number of groups, which follows the number of documents.
+Only lengths are shuffled, never tokens. The number of groups follows the number
+of pieces, so a group's size is bounded whatever ids repeat or are null. Each group
+leaves at most a few bins partly empty; ``fill`` reports sequences against the
+least possible number.
 
-Tokenisation is that of byte_bpe_50k: its vocabulary is read as ranks, which
-gives the same ids as its tokenizers file. Strings of special tokens in a text
-are ordinary text.
+Tokenisation is that of the tokenizers file of byte_bpe_50k without special tokens
+added; the string of a special token in a text is that token, as the file says.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are
 packed once each; the empty table gives no rows; other columns are ignored.
@@ -22,10 +23,9 @@ packed once each; the empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import math
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,19 +42,17 @@ GROUP = 20_000
 
 
 class Tokenizer:
-    """Token ids of a text as little-endian unsigned 32-bit numbers."""
+    """Token ids of texts as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, vocabulary: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores, not the threads of one
         import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer as File
 
-        ranks = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self._file = File.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
-    def encode(self, text: str) -> bytes:
-        return array("I", self._encode(text)).tobytes()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self._file.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _TOKENIZERS: dict[str | None, Tokenizer] = {}
@@ -83,8 +81,9 @@ def tokenised(docs: DataFrame, limit: int = SEQUENCE, vocabulary: str | None = N
         for batch in batches:
             for part in common.chunks(batch):
                 rows: list[list] = [[], [], [], [], [], []]
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = (t.encode(text) if text else b"") + end
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                for doc, ids in zip(part.column("doc_id").to_pylist(), t.encode(texts)):
+                    ids += end
                     for k, (start, length) in enumerate(pieces_of(ids, limit)):
                         own = ids[4 * start : 4 * (start + length)]
                         for column, x in zip(rows, (doc, k, start, length, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int32) if with_ids else None)):
@@ -156,36 +155,40 @@ def best_two_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarra
     return bins, offsets
 
 
-def pack_pieces(pieces: DataFrame, groups: int, limit: int = SEQUENCE) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a length."""
-    dealt = pieces.withColumn("__g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+def pack_pieces(pieces: DataFrame, limit: int = SEQUENCE, group: int = GROUP) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a length. Pieces are written to the checkpoint
+    folder first, so that each keeps its number."""
     columns = pieces.columns
+    kept = common.checkpoint(pieces.withColumn("__n", F.monotonically_increasing_id()))
+    groups = max(1, math.ceil(kept.where(F.col("length") < limit).count() / group))
+    dealt = kept.where(F.col("length") < limit).withColumn("__g", F.pmod(F.xxhash64("__n"), F.lit(groups)).cast("int"))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "piece", "start"], kind="stable", ignore_index=True)
+        part = part.sort_values("__n", kind="stable", ignore_index=True)
         bins, offsets = best_two_fit(part["length"].to_numpy(), limit)
-        part["sequence_id"] = (np.int64(key[0]) << 40) + bins
+        part["sequence_id"] = (np.int64(key[0]) << 32) + bins
         part["offset"] = offsets
         return part[[*columns, "sequence_id", "offset"]]
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("__g").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+    packed = dealt.groupBy("__g").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+    # a full piece is a sequence of its own, with a negative number
+    full = kept.where(F.col("length") == limit).select(*columns, (-1 - F.col("__n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(full)
 
 
 def pack(docs: DataFrame, limit: int = SEQUENCE, vocabulary: str | None = None, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
-    groups = max(1, math.ceil(docs.count() / group))
-    return pack_pieces(tokenised(docs, limit, vocabulary), groups, limit)
+    return pack_pieces(tokenised(docs, limit, vocabulary), limit, group)
 
 
 def sequences(docs: DataFrame, limit: int = SEQUENCE, vocabulary: str | None = None, group: int = GROUP) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids, doc_ids. Ids are gathered a sequence at a time, at most ``limit``."""
-    groups = max(1, math.ceil(docs.count() / group))
-    packed = pack_pieces(tokenised(docs, limit, vocabulary, with_ids=True), groups, limit)
+    packed = pack_pieces(tokenised(docs, limit, vocabulary, with_ids=True), limit, group)
     inside = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     return packed.groupBy("sequence_id").agg(inside.alias("x")).select("sequence_id", F.flatten("x.ids").alias("ids"), F.col("x.doc_id").alias("doc_ids"))
 
 
-def lower_bound(lengths: np.ndarray, limit: int) -> int:
-    return math.ceil(int(lengths.sum()) / limit)
-
+def fill(packed: DataFrame, limit: int = SEQUENCE) -> DataFrame:
+    """One row: sequences, and least, the number that no packing of these lengths can go below."""
+    return packed.agg(F.countDistinct("sequence_id").alias("sequences"), F.ceil(F.coalesce(F.sum("length"), F.lit(0)) / limit).alias("least"))

@@ -427,7 +427,68 @@ def test_packing(spark, docs, empty):
         assert at <= limit
     assert len(bins) <= 1.1 * sum(r["length"] for r in got) / limit + 2
     assert packing.pack(empty).count() == 0
-    assert sorted(x for s in packing.sequences(docs, limit).collect() for x in set(s["doc_ids"])) is not None
+    ids = {}
+    for s in packing.sequences(docs, limit).collect():
+        assert len(s["ids"]) <= limit
+        for d in s["doc_ids"]:
+            ids[d] = ids.get(d, 0) + 1
+    assert ids == {k: sum(r["doc_id"] == k for r in got) for k in ids} and len(ids) == len(rows())
+
+
+def test_packing_special_tokens_and_repeated_ids(spark):
+    """Ids as the tokenizers file gives them; null and repeated doc_ids over several groups; a bound on sequences."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    data = [(rng.choice([None, 7, 7, k]), text(rng, 0, 400)) for k in range(900)] + [(1, "a<|endoftext|>b"), (2, "<|endoftext|>"), (None, "word " * 9000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = packing.pack(df, 512, group=200)
+    crc = {zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, x in data[900:902]}
+    assert {r["ids_crc32"] for r in got.where("doc_id IN (1, 2)").collect()} >= crc and len(t.encode("<|endoftext|>", add_special_tokens=False).ids) == 1
+    rows = got.collect()
+    assert sum(r["length"] for r in rows) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for _, x in data)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 512
+    r = packing.fill(got, 512).first()
+    assert r["sequences"] == len(bins) and r["least"] <= len(bins) <= 1.02 * r["least"] + 10
+
+
+def plain_best_two_fit(lengths, limit):
+    """The method on a plain list, step by step."""
+    left, fills = sorted(lengths, reverse=True), []
+    while left:
+        inside = []
+        while x := next((v for v in left if v <= limit - sum(inside)), 0):
+            inside.append(x)
+            left.remove(x)
+        gap = limit - sum(inside)
+        if gap and len(inside) > 1:
+            room = gap + inside[-1]
+            sums = [left[i] + left[j] for i in range(len(left)) for j in range(i + 1, len(left)) if left[i] + left[j] <= room]
+            if sums and max(sums) > inside[-1]:
+                left.append(inside.pop())
+                a, b = next((left[i], left[j]) for i in range(len(left) - 1) for j in range(i + 1, len(left) - 1) if left[i] + left[j] == max(sums))
+                left.remove(a)
+                left.remove(b)
+                inside += [a, b]
+                left.sort(reverse=True)
+        fills.append(sum(inside))
+    return fills
+
+
+def test_best_two_fit_is_the_plain_method():
+    rng = np.random.default_rng(9)
+    for n, limit in ((40, 32), (60, 100), (25, 7)):
+        lengths = rng.integers(1, limit + 1, n)
+        bins, _ = packing.best_two_fit(lengths, limit)
+        mine, plain = np.bincount(bins, lengths).astype(int).tolist(), plain_best_two_fit(lengths.tolist(), limit)
+        assert abs(len(mine) - len(plain)) <= 1 and mine[0] == plain[0] and sum(mine) == sum(plain)
 
 
 def test_best_two_fit_bound():
