@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -41,8 +43,18 @@ END_ID = 0
 GROUP = 20_000
 
 
+#: Words whose ids a worker keeps.
+_KEPT = 1 << 19
+
+#: The file's splitting pattern, for texts of letters, decimal digits, signs and simple white space.
+_WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
 class Tokenizer:
-    """Token ids of texts as little-endian unsigned 32-bit numbers."""
+    """Token ids of texts as little-endian unsigned 32-bit numbers, by a tokenizers file. The file
+    encodes each word of its splitting pattern by itself, so the ids of a word are kept and
+    used again. Texts with a special token, or with a character that editions of Unicode may class
+    differently, are given to the file whole."""
 
     def __init__(self, vocabulary: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores, not the threads of one
@@ -50,9 +62,41 @@ class Tokenizer:
         from tokenizers import Tokenizer as File
 
         self._file = File.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+        # another file may split in another way, so its texts are encoded whole
+        self._words = _WORDS.findall if vocabulary is None else None
+        self._special = [x.content for x in self._file.get_added_tokens_decoder().values()]
+        self._plain = {chr(k): True for k in range(32, 127)} | dict.fromkeys("\t\n\r", True)
+        self._ids: dict[str, bytes] = {}
+
+    def _is_plain(self, text: str) -> bool:
+        for c in set(text):
+            known = self._plain.get(c)
+            if known is None:
+                old, new = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+                known = self._plain[c] = old[0] == new[0] and (old[0] in "LPS" or old == new == "Nd")
+            if not known:
+                return False
+        return not any(x in text for x in self._special)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self._file.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self._file.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [self._words is not None and self._is_plain(x) for x in texts]
+        whole = iter(self._encoded([x for x, p in zip(texts, plain) if not p]))
+        out = []
+        for text, p in zip(texts, plain):
+            if not p:
+                out.append(next(whole))
+                continue
+            words = self._words(text)
+            new = list({w for w in words if w not in self._ids})
+            if len(self._ids) + len(new) > _KEPT:
+                self._ids.clear()
+                new = list(set(words))
+            self._ids.update(zip(new, self._encoded(new)))
+            out.append(b"".join(map(self._ids.__getitem__, words)))
+        return out
 
 
 _TOKENIZERS: dict[str | None, Tokenizer] = {}

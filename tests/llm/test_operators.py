@@ -459,6 +459,21 @@ def test_packing_special_tokens_and_repeated_ids(spark):
     assert r["sequences"] == len(bins) and r["least"] <= len(bins) <= 1.02 * r["least"] + 10
 
 
+def test_token_ids_are_those_of_the_file(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(21)
+    odd = [chr(k) for k in (9, 10, 11, 12, 13, 28, 31, 32, 32, 32, 39, 48, 65, 97, 115, 133, 160, 170, 178, 188, 233, 223, 0x301, 0x3A9, 0x416, 0x5D0, 0x661, 0x180E, 0x2003, 0x200B, 0x2028, 0x2160, 0x3000, 0x4E2D, 0xFEFF, 0x1F600, 0x1E900, 0x16A40, 0x10D30)]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += [text(rng, 0, 50) + rng.choice(["", " ", "\n\n", "  x", "it's we'll 12,5 <|endoftext|>", "<|endoftext|>", "日本語。"]) for _ in range(500)]
+    for kept in (packing._KEPT, 50):
+        monkeypatch.setattr(packing, "_KEPT", kept)
+        own = packing.Tokenizer()
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def plain_best_two_fit(lengths, limit):
     """The method on a plain list, step by step."""
     left, fills = sorted(lengths, reverse=True), []
