@@ -51,8 +51,8 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``limit`` bytes of text each."""
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` whole rows with about ``limit`` bytes of text each."""
     n = batch.num_rows
     if not n:
         return
@@ -61,7 +61,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     start = 0
     while start < n:
         base = at[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(at, base + limit, side="right")))
+        end = min(start + rows, max(start + 1, int(np.searchsorted(at, base + limit, side="right"))))
         yield batch.slice(start, end - start)
         start = end
 

@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
 A text is a TF-IDF vector of hashed byte 2- and 3-grams of its lower-cased
-letters, of length 1. Each language has several centroids, found by spherical
+letters, the text between two spaces, of length 1. Each language has several centroids, found by spherical
 k-means among its training vectors; a text gets the language of the centroid of
 the largest cosine, its score. Texts whose cosine is below what training texts
 of that language reach are rejected (column ``rejected``); a text without
@@ -13,8 +13,8 @@ are those of the sample too, as a part of the model. Every row is predicted from
 its whole text. Nothing is shuffled; the model has a fixed size for each language.
 
 Defined cases: null or empty text and text without letters: ``und``, score 0,
-rejected; without any labelled row all are ``und``; repeated rows each get their
-row; other columns are ignored by ``identify``.
+rejected; without any labelled row all are ``und``; of equal cosines the language first
+in order, and its first centroid, wins; repeated rows each get their row; other columns are ignored by ``identify``.
 """
 
 from __future__ import annotations
@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bound of the training sample, of all languages together.
-SAMPLE = 2400
+SAMPLE = 4000
 CLUSTERS = 4
-DIMENSIONS = 4096
+BITS = 13
+DIMENSIONS = 1 << BITS
+#: Rows whose dense vectors are held at a time.
+ROWS = 64
 ROUNDS = 12
 
 #: Rejection: below this share of the cosine that all but QUANTILE of the training texts of a language reach.
@@ -58,9 +61,9 @@ class Model(NamedTuple):
 
 def counts(texts: pa.Array) -> np.ndarray:
     """Hashed n-gram counts, a row for each text."""
-    if texts.null_count:
-        texts = pc.fill_null(texts, "")
-    data, offsets = common.utf8(pc.utf8_lower(texts))
+    space = pa.scalar(" ", texts.type)
+    texts = pc.binary_join_element_wise(space, pc.utf8_lower(pc.fill_null(texts, "")), space, pa.scalar("", texts.type))
+    data, offsets = common.utf8(texts)
     n = len(offsets) - 1
     b = _FOLDED[data].astype(np.uint32)
     doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets)) * DIMENSIONS
@@ -76,15 +79,16 @@ def counts(texts: pa.Array) -> np.ndarray:
             solid |= b[k : k + m] != 32
         solid &= doc[:m] == doc[size - 1 :]
         code = (code[solid] * np.uint32(0x9E3779B1) ^ np.uint32(size * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)
-        out += np.bincount(doc[:m][solid] + (code >> np.uint32(20)).astype(np.int64), minlength=len(out))
+        out += np.bincount(doc[:m][solid] + (code >> np.uint32(32 - BITS)).astype(np.int64), minlength=len(out))
     return out.reshape(n, DIMENSIONS)
 
 
 def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = found.astype(np.float32)
+    """Rows of length 1; a float32 argument is used up."""
+    v = found.astype(np.float32, copy=False)
     np.log1p(v, out=v)
     v *= idf
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], 1e-9)
     return v
 
 
@@ -128,27 +132,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.chunks(batch):
+            for part in common.chunks(batch, rows=ROWS):
                 found = counts(part.column("text"))
                 at = [np.flatnonzero(x) for x in found]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([np.minimum(f[x], 65535).astype("<u2").tobytes() for f, x in zip(found, at)], pa.binary())], names=["doc_id", "lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([f[x].astype("<u4").tobytes() for f, x in zip(found, at)], pa.binary())], names=["doc_id", "lang", "at", "n"])
 
     drawn = rows.where(draw < rate).mapInArrow(run, "doc_id long, lang string, at binary, n binary").collect()
     drawn = sorted((r for r in drawn if r["at"]), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["at"], r["n"]))
     if not drawn:
         return None
-    found = np.zeros((len(drawn), DIMENSIONS), np.uint16)
-    for row, r in zip(found, drawn):
-        row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u2")
-    idf = np.log((1 + len(found)) / (1 + np.count_nonzero(found, axis=0)) + 1).astype(np.float32)
-    label = np.array([r["lang"] for r in drawn])
-    v = vectors(found, idf)
-    del found, drawn
-    languages = sorted(set(label.tolist()))
-    parts = [spherical_kmeans(v[label == x], clusters) for x in languages]
+    # rows stay sparse; only those of one language are made dense at a time
+    seen = np.bincount(np.concatenate([np.frombuffer(r["at"], "<u2") for r in drawn]), minlength=DIMENSIONS)
+    idf = np.log((1 + len(drawn)) / (1 + seen) + 1).astype(np.float32)
+    languages = sorted({r["lang"] for r in drawn})
+    parts, reach = [], []
+    for x in languages:
+        own = [r for r in drawn if r["lang"] == x]
+        found = np.zeros((len(own), DIMENSIONS), np.float32)
+        for row, r in zip(found, own):
+            row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
+        v = vectors(found, idf)
+        parts.append(spherical_kmeans(v, clusters))
+        reach.append(np.quantile((v @ parts[-1].T).max(axis=1), QUANTILE) * MARGIN)
+        del v, found
     centroids = np.concatenate(parts)
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    reach = [np.quantile((v[label == x] @ p.T).max(axis=1), QUANTILE) * MARGIN for x, p in zip(languages, parts)]
     return Model(languages, idf, centroids, owner, np.array(reach, np.float32))
 
 
@@ -178,7 +186,7 @@ def _identified(docs: DataFrame, model: Model | None, kept: list[str]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.chunks(batch):
+            for part in common.chunks(batch, rows=ROWS):
                 names, score, rejected = predict(sent.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected), *(part.column(f.name) for f in extra)], names=["doc_id", "held_out", "lang_pred", "score", "rejected", *(f.name for f in extra)])
 

@@ -8,9 +8,9 @@ dimension, so each shard spans few cells of each and files can be pruned by any.
 
 The total order is (curve index, text checksum, doc_id, ...), so a hot source or
 a large group of equal texts is cut like any other run. The rank of a row is its
-place in a range-partitioned sort plus the rows of all partitions before it; the
-sorted keys are written to the checkpoint folder first, so a lost executor can't
-change the order between the two reads. No window over all rows is needed, and
+place in a range-partitioned sort plus the rows of all partitions before it. The
+narrow keys are written to the checkpoint folder before the sort, which reads them twice, and
+after it, so a lost executor can't change the order between the reads. No window over all rows is needed, and
 the text itself is never shuffled.
 
 Quantile borders come from all rows; there are at most 2^BITS - 1 of them for
@@ -111,15 +111,16 @@ def hilbert(cell: Column, n: int, bits: int = BITS) -> Column:
     return axes, out
 
 
-def ordered(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, the dimensions, ``curve`` and ``rank``, the place of the row from 0."""
-    own = tuple(x for x in dimensions if x != "size")
+def ordered(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, the dimensions, the columns in ``key``, ``curve`` and ``rank``, the place of the row from 0."""
+    own = (*(x for x in dimensions if x != "size"), *key)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = common.text_column(docs, "doc_id", "text", *own)
     rows = rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *own)
     rows = cells(rows, dimensions, bits)
     axes, index = hilbert(F.col("__cell"), len(dimensions), bits)
-    rows = rows.withColumn("__axes", axes).withColumn("curve", index).drop("__axes", "__cell")
+    rows = rows.withColumn("__axes", axes).withColumn("curve", index)
+    rows = common.checkpoint(rows.drop("__axes", "__cell"))
     order = ["curve", "text_crc32", "doc_id", "size", *own]
     partitions = common.parallelism(docs.sparkSession)
     placed = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
@@ -133,21 +134,22 @@ def ordered(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int
     return ranked.select("doc_id", "size", "text_crc32", *own, "curve", (F.col("__before") + inside).alias("rank"), F.col("__total").alias("total"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, and curve."""
-    rows = ordered(docs, dimensions, bits)
+def shard(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve, and the columns in ``key``."""
+    rows = ordered(docs, dimensions, bits, key)
     base, more = F.floor(F.col("total") / shards).cast("long"), F.col("total") % shards
     wide = more * (base + 1)  # ranks in the first shards, which hold one row more
     r = F.col("rank")
     number = F.when(r < wide, F.floor(r / (base + 1))).otherwise(more + F.floor((r - wide) / F.greatest(base, F.lit(1)))).cast("int")
     slot = F.when(r < wide, r % (base + 1)).otherwise((r - wide) % F.greatest(base, F.lit(1))).cast("long")
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), number.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), number.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *key)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS) -> None:
-    """The whole documents as Parquet, a folder for each shard, rows in curve order, for pruning by file statistics."""
-    placed = shard(docs, shards, dimensions).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    key = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    joined = docs.withColumn("__crc", key).join(placed.withColumnsRenamed({"doc_id": "__doc", "text_crc32": "__text_crc"}), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__crc") == F.col("__text_crc")))
-    n = common.parallelism(docs.sparkSession)
-    (joined.drop("__crc", "__doc", "__text_crc").repartitionByRange(max(n, shards), "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").mode("overwrite").parquet(path))
+    """The whole documents as Parquet, a folder for each shard, rows in curve order, for pruning by file
+    statistics. Each row has its own place, whatever rows repeat."""
+    kept = common.checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
+    placed = shard(kept, shards, dimensions, key=("__row",)).select("__row", "shard", "slot")
+    n = max(common.parallelism(docs.sparkSession), shards)
+    joined = kept.join(placed, "__row").drop("__row")
+    joined.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -93,6 +93,48 @@ def test_language_clashing_names(spark):
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "some words of a text here", "en", 0.5, True)]
 
 
+def test_language_by_definition():
+    """TF-IDF vectors, cosines and the rejection bound, number by number."""
+    texts = ["ab é", "Abab", "", "x", "12"]
+    found = langid.counts(pa.array(texts))
+    mask = 0xFFFFFFFF
+    for t, row in zip(texts, found):
+        b = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {t.lower()} ".encode())
+        want = {}
+        for size in (2, 3):
+            for i in range(len(b) - size + 1):
+                g = b[i : i + size]
+                if g.strip(b" "):
+                    at = ((int.from_bytes(g, "big") * 0x9E3779B1 & mask ^ (size * 0x85EBCA6B & mask)) * 0xC2B2AE35 & mask) >> 32 - langid.BITS
+                    want[at] = want.get(at, 0) + 1
+        assert {int(k): int(row[k]) for k in np.flatnonzero(row)} == want
+    rng = np.random.default_rng(3)
+    idf = rng.random(langid.DIMENSIONS).astype(np.float32) + 1
+    raw = [{k: np.log1p(float(row[k])) * float(idf[k]) for k in np.flatnonzero(row)} for row in found]
+    norm = [sum(x * x for x in r.values()) ** 0.5 or 1 for r in raw]
+    centroids = langid.vectors(np.stack([found[0], found[3]]), idf)
+    m = langid.Model(["aa", "bb"], idf, centroids, np.array([0, 1]), np.array([0.5, 0.9], np.float32))
+    names, score, rejected = langid.predict(m, pa.array(texts))
+    for i, t in enumerate(texts):
+        cosine = [sum(raw[i].get(k, 0) * v for k, v in raw[j].items()) / norm[i] / norm[j] for j in (0, 3)]
+        best = int(cosine[1] > cosine[0])
+        letters = any(map(str.isalpha, t))
+        assert names[i] == (("aa", "bb")[best] if letters else "und") and abs(score[i] - (cosine[best] if letters else 0)) < 1e-5
+        bound = (0.5, 0.9)[best] * min(1, found[i].sum() / langid.FULL_LENGTH) ** 0.5
+        assert rejected[i] == (not letters or cosine[best] < bound)
+
+
+def test_kmeans_finds_its_groups():
+    rng = np.random.default_rng(5)
+    middle = np.eye(6, dtype=np.float32)[:3]
+    v = np.concatenate([m + 0.05 * rng.random((20, 6)).astype(np.float32) for m in middle])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    c = langid.spherical_kmeans(v, 3)
+    means = [v[20 * k : 20 * k + 20].sum(axis=0) for k in range(3)]
+    means = [m / np.linalg.norm(m) for m in means]
+    assert all(max(float(x @ m) for x in c) > 1 - 1e-5 for m in means) and len(langid.spherical_kmeans(v[:2], 4)) == 2
+
+
 def test_language_empty(empty):
     assert langid.identify(empty).count() == 0 and langid.keep_identified(empty).count() == 0
 
@@ -327,6 +369,55 @@ def test_hilbert_is_a_curve(spark):
     assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for (_, a), (_, b) in zip(got, got[1:]))
 
 
+def test_sharding_order_by_definition(spark):
+    """The order of rows from cells and a curve that are computed here."""
+    rng = random.Random(13)
+    data = [(k, text(rng, 0, 20), rng.choice(["en", "de", None]), f"https://host{rng.randrange(9)}.example") for k in range(300)]
+    data += [(500, "same", "en", "s")] * 40
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(4)
+    bits = 3
+
+    def borders(values):
+        ordered = sorted(values)
+        return sorted({ordered[-(-k * len(ordered) // (1 << bits)) - 1] for k in range(1, 1 << bits)})
+
+    key = lambda v: (v is not None, (v or "").encode())
+    columns = [[key(r[3]) for r in data], [key(r[2]) for r in data], [len(r[1].encode()) + 1 for r in data]]
+    cell = [[sum(b < v for b in borders(c)) for v in c] for c in columns]
+
+    def index(x):
+        """Place on the curve, by the recursive form of the transposed algorithm."""
+        x, n = list(x), len(x)
+        q = 1 << bits - 1
+        while q > 1:
+            for i in range(n):
+                if x[i] & q:
+                    x[0] ^= q - 1
+                else:
+                    t = (x[0] ^ x[i]) & (q - 1)
+                    x[0] ^= t
+                    x[i] ^= t
+            q >>= 1
+        for i in range(1, n):
+            x[i] ^= x[i - 1]
+        t = 0
+        for k in range(bits - 1, 0, -1):
+            if x[-1] >> k & 1:
+                t ^= (1 << k) - 1
+        x = [v ^ t for v in x]
+        return int("".join(str(v >> k & 1) for k in range(bits - 1, -1, -1) for v in x), 2)
+
+    want = sorted((index(c), zlib.crc32(r[1].encode()), r[0]) for c, r in zip(zip(*cell), data))
+    got = sorted(sharding.shard(df, 8, bits=bits).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [(r["curve"], r["text_crc32"], r["doc_id"]) for r in got] == want
+
+
+def test_write_shards_keeps_repeated_rows(spark, tmp_path):
+    df = spark.createDataFrame([(7, "same", "en", "s")] * 50 + [(None, None, None, None)] * 30, "doc_id long, text string, lang string, source string")
+    sharding.write_shards(df, str(tmp_path / "r"), 8)
+    assert [r["count"] for r in spark.read.parquet(str(tmp_path / "r")).groupBy("shard").count().collect()] == [10] * 8
+
+
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs.withColumnRenamed("spans", "source"), str(tmp_path / "s"), 4)
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows())
