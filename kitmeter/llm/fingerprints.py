@@ -8,9 +8,10 @@ and a form that differs from the bucket's first gets the digest with ``-1``,
 ``-2``, ... so equal fingerprints always mean equal canonical forms.
 
 Edited texts need the neighbour in descending doc_id. The table is dealt into
-ranges of doc_id by quantile borders; each range is read in order, and the first
-document of a range is sent to the range before it as well. So texts are
-shuffled once, compressed, and no window over all rows is needed. Only documents
+ranges of doc_id by quantile borders, about RANGE_BYTES of text each; each range is read
+in order, and the first document of a range is sent to the range before it as well. So
+texts are shuffled once, compressed, and no window over all rows is needed. A row finds
+its range by binary search. Only documents
 whose digest occurs twice are compared by bytes: each task sends one copy of a
 canonical form, whatever the size of a group of copies.
 
@@ -19,18 +20,21 @@ next one it is compared by bytes, which are at hand, so likeness is 1 for equal
 canonical forms and 0 otherwise.
 
 Defined cases: null is the empty text; rows are ordered by doc_id descending,
-ties by text, null doc_id last; one row alone is its own next document; repeated
+ties by the bytes of the compressed text, null doc_id last; one row alone is its own next document; repeated
 rows each get their row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,6 +47,11 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 #: Tasks over which the documents of one digest are dealt.
 SALTS = 32
 
+#: Text bytes of a range of doc_ids.
+RANGE_BYTES = 8 << 20
+#: Ranges of a task.
+RANGES = 4
+
 #: doc_id of a row without one, for the order only.
 _NONE = -(1 << 63)
 
@@ -80,30 +89,66 @@ def _borders(docs: DataFrame, parts: int) -> list[int]:
     if parts < 2:
         return []
     steps = [k / parts for k in range(1, parts)]
-    found = docs.agg(F.percentile_approx("doc_id", steps, 10_000)).first()[0]
+    found = docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 10 * parts))).first()[0]
     return sorted(set(found or []))
 
 
-def _pack(parts: int):
+def _ranges(ids: pa.Array, borders: np.ndarray) -> np.ndarray:
+    """The range of each doc_id: 0 holds the largest ones; a border belongs to the range above it."""
+    keys = pc.fill_null(ids, _NONE).to_numpy(zero_copy_only=False)
+    return (len(borders) - np.searchsorted(borders, keys, side="right")).astype(np.int32)
+
+
+def _tops(ids: DataFrame, borders: np.ndarray) -> dict[int, int]:
+    """The largest doc_id of each range that has any; one number for each range and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full(len(borders) + 1, _NONE, np.int64)
+        there = np.zeros(len(top), bool)
+        for batch in batches:
+            part = _ranges(batch.column("doc_id"), borders)
+            np.maximum.at(top, part, pc.fill_null(batch.column("doc_id"), _NONE).to_numpy(zero_copy_only=False))
+            there[part] = True
+        some = np.flatnonzero(there).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(top[some])], names=["p", "top"])
+
+    return {r["p"]: r["top"] for r in ids.mapInArrow(run, "p int, top long").groupBy("p").agg(F.max("top").alias("top")).collect()}
+
+
+def _dealt(rows: DataFrame, borders: np.ndarray, tops: dict[int, int]) -> DataFrame:
+    """(p, kind, doc_id, packed): each text in its range (kind 1), and those of a range's largest doc_id also in the range before (kind 2)."""
+    order = sorted(tops)
+    before = np.zeros(len(borders) + 1, np.int32)
+    top = np.full(len(borders) + 1, _NONE, np.int64)
+    for k, p in enumerate(order):
+        # the range before the first is the last
+        before[p], top[p] = order[k - 1], tops[p]
+    sent = rows.sparkSession.sparkContext.broadcast((borders, before, top))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders, before, top = sent.value
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in common.chunks(batch):
-                small = [press.compress(t.encode("utf-8", "surrogatepass")) if t else b"" for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(small, pa.binary())], names=["doc_id", "part", "packed"])
+                ids = part.column("doc_id")
+                p = _ranges(ids, borders)
+                first = np.flatnonzero(top[p] == pc.fill_null(ids, _NONE).to_numpy(zero_copy_only=False))
+                small = pa.array([press.compress(t.encode("utf-8", "surrogatepass")) if t else b"" for t in part.column("text").to_pylist()], pa.binary())
+                at = np.concatenate((np.arange(len(p)), first))
+                kind = np.repeat(np.array([1, 2], np.int32), (len(p), len(first)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((p, before[p[first]]))), pa.array(kind), ids.take(pa.array(at)), small.take(pa.array(at))], names=["p", "kind", "doc_id", "packed"])
 
-    return run
+    return rows.mapInArrow(run, "p int, kind int, doc_id long, packed binary")
 
 
 def fingerprints(docs: DataFrame, hasher: Callable[[bytes], str] = digest) -> DataFrame:
     """A row for each document; see SCHEMA. ``hasher`` makes the digest of a canonical form."""
     spark = docs.sparkSession
     rows = common.text_column(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    parts = common.parallelism(spark)
-    borders = _borders(rows.select("doc_id"), 2 * parts)
-    key = F.coalesce(F.col("doc_id"), F.lit(_NONE))
-    # part 0 holds the largest doc_ids; a border belongs to the range above it
-    upto = F.array_size(F.filter(F.array(*map(F.lit, borders)), lambda b: b > key)).cast("int") if borders else F.lit(0)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a task reads several small ranges, dealt by hash, so that tasks are even without a second pass
+    parts = max(common.parallelism(spark), math.ceil(size / (RANGES * RANGE_BYTES)))
+    borders = np.array(_borders(rows.select("doc_id"), RANGES * parts), np.int64)
 
     own = common.checkpoint(digests(rows, hasher))
     twice = own.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
@@ -112,23 +157,13 @@ def fingerprints(docs: DataFrame, hasher: Callable[[bytes], str] = digest) -> Da
     salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     marks = salted.join(twice, ["digest", "salt"], "left_semi").select("doc_id").distinct()
 
-    tops = {r["part"]: r["top"] for r in rows.select(upto.alias("part"), key.alias("k")).groupBy("part").agg(F.max("k").alias("top")).collect()}
-    order = sorted(tops)
-    #: The range that reads the first documents of a range after its own: the one before it, for the first the last.
-    before = {p: order[k - 1] for k, p in enumerate(order)}
-
-    texts = rows.withColumn("part", upto).mapInArrow(_pack(parts), "doc_id long, part int, packed binary")
-    first = F.lit(False)
-    if len(order) > 1 or order:
-        pairs = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(tops[p]))])
-        first = F.coalesce(pairs[F.col("part")] == key, F.lit(False))
-        previous = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(before[p]))])
-    else:
-        previous = F.create_map(F.lit(0), F.lit(0))
-    targets = F.when(first, F.array(F.struct(F.col("part").alias("p"), F.lit(1).alias("kind")), F.struct(previous[F.col("part")].alias("p"), F.lit(2).alias("kind")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(1).alias("kind"))))
-    sent = texts.withColumn("t", F.explode(targets)).select("t.p", "t.kind", "doc_id", "packed")
-    flags = marks.withColumn("part", upto).select(F.col("part").alias("p"), F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("packed"))
-    dealt = sent.unionByName(flags).withColumn("__k", F.coalesce(F.col("doc_id"), F.lit(_NONE)))
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_ranges(batch.column("doc_id"), borders)), batch.column("doc_id")], names=["p", "doc_id"])
+
+    texts = _dealt(rows, borders, _tops(own.select("doc_id"), borders))
+    flags = marks.mapInArrow(placed, "p int, doc_id long").select("p", F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("packed"))
+    dealt = texts.unionByName(flags).withColumn("__k", F.coalesce(F.col("doc_id"), F.lit(_NONE)))
     # kinds 0 and 1 of a document lie together; kind 2 comes after all others of a range
     dealt = dealt.repartition(parts, "p").sortWithinPartitions(F.col("p"), F.col("kind") == 2, F.col("__k").desc(), "kind", "packed").drop("__k")
 

@@ -15,9 +15,9 @@ once reveals nothing. (Sanchez and Batet's C-sanitisation, with protected entiti
 found by their form.)
 
 All documents are counted. Text is read three times: for entities and contexts,
-for the frequencies of the terms that pairs need, and for the places of the
-revealing ones; terms are sent in blocks of about BLOCK. Tasks send sums and places,
-never texts.
+for the frequencies of all words (each task adds up what it reads, and sums are
+kept for the terms that pairs need), and for the places of the revealing terms, which
+are sent in blocks of about BLOCK. Tasks send sums and places, never texts.
 
 Defined cases: null is the empty text; repeated rows each count and get their
 row; other columns are ignored by ``scan`` and kept by ``sanitise``. Places are
@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import common
 
@@ -45,6 +46,10 @@ SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.9
 BLOCK = 200_000
+#: Words whose sums a task holds.
+HELD = 1 << 20
+#: Rows with revealing terms that may be broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -172,25 +177,36 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.list_(pa.int64())), pa.array(base, pa.list_(pa.string())), pa.array(pairs, pa.list_(pair))], names=["doc_id", "key", "counts", "base", "pairs"])
 
 
-def _frequencies(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """Documents that hold each of the terms (sorted hashes), over the whole table."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def _frequencies(docs: DataFrame) -> DataFrame:
+    """Documents that hold each word, over the whole table; a task sends its sums whenever it holds HELD words."""
+
+    def sums(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        t, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return t, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        total = np.zeros(len(own), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             for part in common.chunks(batch):
                 data, offsets = common.utf8(part.column("text"))
                 data = common.LOWER[data]
                 starts, ends, counts = common.words(data, offsets, common.ALNUM)
-                h = common.word_hashes(data, starts, ends).view(np.int64)
-                at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                known = np.flatnonzero(own[at] == h)
-                doc = np.repeat(np.arange(len(counts)), counts)[known]
-                total += np.bincount(np.unique(doc * len(own) + at[known]) % len(own), minlength=len(own))
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own[there]), pa.array(total[there])], names=["t", "n"])
+                if not len(starts):
+                    continue
+                t, at = np.unique(common.word_hashes(data, starts, ends).view(np.int64), return_inverse=True)
+                doc = np.repeat(np.arange(len(counts)), counts)
+                once = np.unique(doc * len(t) + at) % len(t)
+                held.append((t, np.bincount(once, minlength=len(t))))
+                size += len(t)
+                if size > HELD:
+                    held = [sums(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["t", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums(held)], names=["t", "n"])
 
     return docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("nt"))
 
@@ -245,33 +261,35 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     joint = pairs.where("t IS NOT NULL").distinct().groupBy("c", "t").agg(F.count("*").alias("nct")).where(F.col("nct") >= SUPPORT)
     alone = pairs.select("__row", "c").distinct().groupBy("c").agg(F.count("*").alias("nc"))
     joint = common.checkpoint(joint)
-    needed = joint.select("t").distinct()
-    parts = None
-    for block in _blocks(needed):
-        f = _frequencies(docs, np.array([r["t"] for r in block], np.int64))
-        parts = f if parts is None else parts.unionByName(f)
-    if parts is None:
-        return joint.select("c", "t", F.lit(0.0).alias("disclosure")).limit(0)
+    if joint.isEmpty():
+        return joint.select("c", "t", F.lit(0.0).alias("disclosure"))
+    parts = _frequencies(docs)
     pmi = F.log2(F.lit(float(n)) * F.col("nct") / (F.col("nc") * F.col("nt")))
     ic = F.log2(F.lit(float(n)) / F.col("nc"))
     scored = joint.join(parts, "t").join(alone, "c").where(F.col("nc") < n).withColumn("disclosure", pmi / ic)
     return scored.where(F.col("disclosure") >= GENERALISE).select("c", "t", "disclosure")
 
 
-def detected(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base (strings kind:start:end) and terms, an array of (s, e, disclosure); one row for each document, and ``__row``."""
-    rows = common.text_column(docs, "doc_id", "text")
+def _found(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What the first pass finds in each row, and (key, terms) of the rows that hold revealing terms, if there are any."""
     found = common.checkpoint(rows.mapInArrow(_first_pass, _PASS).withColumn("__row", F.monotonically_increasing_id()))
-    none = F.array().cast("array<struct<s:int,e:int,disclosure:double>>")
     revealing = common.checkpoint(disclosures(rows, found).groupBy("t").agg(F.max("disclosure").alias("disclosure")))
     placed = None
     for block in _blocks(revealing):
         p = _places(rows, np.array([r["t"] for r in block], np.int64), np.array([r["disclosure"] for r in block]))
         placed = p if placed is None else placed.unionByName(p)
     if placed is None:
-        return found.drop("pairs", "key").withColumn("terms", none)
+        return found, None
     # a row's places come from each block, and equal rows have them all
-    placed = placed.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
+    return found, placed.groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
+
+
+def detected(docs: DataFrame) -> DataFrame:
+    """doc_id, counts, base (strings kind:start:end) and terms, an array of (s, e, disclosure); one row for each document, and ``__row``."""
+    found, placed = _found(common.text_column(docs, "doc_id", "text"))
+    none = F.array().cast("array<struct<s:int,e:int,disclosure:double>>")
+    if placed is None:
+        return found.drop("pairs", "key").withColumn("terms", none)
     return found.drop("pairs").join(placed, "key", "left").drop("key").withColumn("terms", F.coalesce("terms", none))
 
 
@@ -287,9 +305,9 @@ def scan(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", *[F.get("counts", k).alias(f"n_{x}") for k, x in enumerate(KINDS)], F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), spans.alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
-def replaced(text: str, base: list[str], terms: list[tuple[int, int, float]]) -> str:
+def replaced(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, float]]) -> str:
     """Entities as their marks; terms generalised to [TERM] or removed."""
-    cuts = [(int(s), int(e), MARKS[k]) for k, s, e in (x.split(":") for x in base)]
+    cuts = [(s, e, MARKS[KINDS[k]]) for s, k, e in base]
     cuts += [(s, e, "" if d >= REMOVE else "[TERM]") for s, e, d in terms]
     out, free = [], 0
     for s, e, mark in sorted(cuts):
@@ -300,8 +318,35 @@ def replaced(text: str, base: list[str], terms: list[tuple[int, int, float]]) ->
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id and the sanitised text of each document that has spans; others are as they were."""
-    found = detected(docs).where((F.size("base") > 0) | (F.size("terms") > 0)).select("doc_id", "base", "terms").dropDuplicates(["doc_id"])
-    change = F.udf(lambda t, b, x: replaced(t, b, [(r["s"], r["e"], r["disclosure"]) for r in x]) if t and b is not None else t, "string", useArrow=True)
-    joined = docs.join(found.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
-    return joined.withColumn("text", change("text", "base", "terms")).select(*docs.columns)
+    """The documents with entities replaced by their marks and revealing terms generalised or
+    removed, each row by its own text; columns of any name stay. n_chars is not changed."""
+    names = docs.columns
+    own = [f"c{k}" for k in range(len(names))]
+    doc, text = own[names.index("doc_id")], own[names.index("text")]
+    df = docs.toDF(*own)
+    rows = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    _, placed = _found(rows)
+    schema = df.schema
+    at = own.index(text)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.chunks(batch, text):
+                keys = [_row_key(d, t) for d, t in zip(part.column(doc).cast(pa.int64()).to_pylist(), part.column(text).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=[*own, "key"])
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.chunks(batch, text):
+                new = [t and replaced(t, base_spans(t), [(x["s"], x["e"], x["disclosure"]) for x in terms or []]) for t, terms in zip(part.column(text).to_pylist(), part.column("terms").to_pylist())]
+                columns = [part.column(x) for x in own]
+                columns[at] = pa.array(new, part.column(text).type)
+                yield pa.RecordBatch.from_arrays(columns, names=own)
+
+    if placed is None:
+        known = df.withColumn("terms", F.lit(None).cast("array<struct<s:int,e:int,disclosure:double>>"))
+    else:
+        placed = common.checkpoint(placed)
+        few = placed.count() <= BROADCAST_ROWS
+        known = df.mapInArrow(keyed, StructType([*schema.fields, StructField("key", BinaryType())])).join(F.broadcast(placed) if few else placed, "key", "left")
+    return known.select(*own, "terms").mapInArrow(change, schema).toDF(*names)

@@ -580,6 +580,35 @@ def test_fingerprint_ties(spark):
     assert fingerprints.fingerprints(df).count() == 4
 
 
+def plain_form(t):
+    """The canonical form by its definition."""
+    import unicodedata
+
+    nfkc = lambda x: unicodedata.normalize("NFKC", x)
+    return re.sub(r"\s+", " ", nfkc(nfkc(t).casefold())).strip()
+
+
+def test_fingerprints_by_definition(spark, monkeypatch):
+    """Order, edits, likeness and equality of fingerprints, over many small ranges, with repeated and null ids."""
+    rng = random.Random(17)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 400)
+    forms = ["", "Straße  Ａ", "strasse a", "STRASSE\tA ", "ﬁne", "fine", "é", "e\u0301", "x" * 99]
+    data = [(k, rng.choice(forms) if rng.random() < 0.4 else text(rng, 0, 30)) for k in rng.sample(range(10_000), 150)] + [(None, "last one")]
+    got = by_id(fingerprints.fingerprints(spark.createDataFrame(data, "doc_id long, text string").repartition(5)))
+    order = sorted(data, key=lambda r: -1 if r[0] is None else r[0], reverse=True)
+    same = {}
+    for i, (k, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        n = len(t) // 3
+        e = t[: len(t) - n] + nxt[:n]
+        r = got[k]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (r["near_edited"], r["near_next"]) == (float(plain_form(e) == plain_form(t)), float(plain_form(nxt) == plain_form(t)))
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (plain_form(e) == plain_form(t))
+        same.setdefault(r["fingerprint"], set()).add(plain_form(t))
+    assert all(len(x) == 1 for x in same.values()) and len(same) == len({plain_form(t) for _, t in data})
+
+
 # --- op8
 
 
@@ -877,6 +906,7 @@ def test_pii_terms_far_from_the_entity(spark, monkeypatch):
     df = spark.createDataFrame(data, "doc_id long, text string")
     for block in (pii.BLOCK, 1):
         monkeypatch.setattr(pii, "BLOCK", block)
+        monkeypatch.setattr(pii, "HELD", 40 if block == 1 else 1 << 20)
         found = by_id(pii.scan(df))
         for k, t in data:
             spans = {tuple(map(int, x.split(":")[1:])) for x in found[k]["spans"].split(",") if x.startswith("term")}
@@ -886,6 +916,20 @@ def test_pii_terms_far_from_the_entity(spark, monkeypatch):
     assert not any(re.search(r"(?i)zebulon\b", clean[k]["text"]) for k in range(15))
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_pii_sanitise_each_row_by_its_own_text(spark, monkeypatch, few):
+    """Repeated ids with other texts, nulls, and columns named as ours."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", few)
+    data = [(1, f"please write to Zebulon at zed@corp.example {k}", "x", None) for k in range(6)] + [(1, "ring +49 30 1234567", "y", "t"), (None, None, None, None), (2, "", "z", "u")]
+    data += [(100 + k, f"plain words number {k}", "w", "v") for k in range(80)]
+    df = spark.createDataFrame(data, "doc_id long, text string, a string, b string").toDF("doc_id", "text", "terms", "a.b")
+    got = pii.sanitise(df)
+    assert got.columns == df.columns and got.schema["text"].dataType == df.schema["text"].dataType
+    texts = sorted((r[0] or 0, r[1] or "") for r in got.collect())
+    assert sum("[EMAIL]" in t and "zed" not in t and "Zebulon" not in t for _, t in texts) == 6
+    assert (1, "ring [PHONE]") in texts and len(texts) == len(data) and all((100 + k, f"plain words number {k}") in texts for k in range(80))
+
+
 def test_pii_context_words_of_any_length(spark):
     long = "x" * 60
     t = f"{'y' * 500} qz 王明 {long} zeb@corp.example 7 {'z' * 900} ab"
