@@ -391,6 +391,29 @@ def test_decontamination_in_blocks_and_near(spark, monkeypatch, docs, empty):
     assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_stored_index(spark, monkeypatch, tmp_path):
+    """One index, two benchmarks: proximity matches, regular words that only bytes tell apart, small steps."""
+    data = [(1, "zero one two three four five six"), (2, "one two inserted three four"), (3, "b a"), (4, None), (4, "one two three four")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    index = decontam.write_index(docs, str(tmp_path / "index"))
+    monkeypatch.setattr(decontam, "STEP", 1)
+    bench = spark.createDataFrame([(9, "one two three four")], "item_id long, text string")
+    found = decontam.contamination(docs, bench, slop=2, index=index).collect()
+    got = sorted((r["doc_id"], r["n_hit"], r["n_near_items"], [tuple(x) for x in r["near_spans"]]) for r in found)
+    assert got == [(1, 4, 1, []), (2, 0, 1, [("9", 0, 4)]), (3, 0, 0, []), (4, 0, 0, []), (4, 4, 1, [])]
+    other = decontam.contamination(docs, spark.createDataFrame([(1, "B A"), (None, "six")], "item_id long, text string"), index=index)
+    assert {r["doc_id"]: r["items"] for r in other.collect() if r["contaminated"]} == {3: ["1"], 1: ["null"]}
+    # equal hashes of other bytes make no match
+    import zstandard
+
+    row = decontam.build_index(spark.createDataFrame([(1, "aaaa bb")], "doc_id long, text string")).first().asDict()
+    queries = decontam.Queries([("y", "aaaa bb")], 10)
+    asked = lambda: decontam.scan(queries, decontam.Postings(queries, row, zstandard.ZstdDecompressor()), 0)
+    assert list(asked()) == [0]
+    queries.words = [x.upper() for x in queries.words]
+    assert asked() == {}
+
+
 # --- op5
 
 
