@@ -74,10 +74,30 @@ class Reader:
         if last.kind == "ident":
             return last.text not in _BEFORE_EXPRESSION or (len(out) > 1 and out[-2].text in (".", "?."))
         if last.kind == "group":
-            # after a block a new statement may begin, but neither JSX nor a regex does
-            return True
+            return not self.ends_statement_part(out)
         return last.kind in ("num", "str", "regex", "template", "jsx") or last.text in ("++", "--") or last.text == "!" and self.operand(out[:-1])
 
+    @staticmethod
+    def ends_statement_part(out: list[Node]) -> bool:
+        """Whether the last group is the head of a statement, if (..), or the block of one, so that an expression may begin after it."""
+        heads = ("if", "while", "for", "with", "switch", "catch")
+        word = lambda k: out[k].text if len(out) >= -k and out[k].kind == "ident" and not (len(out) > -k and out[k - 1].text in (".", "?.")) else ""
+        if out[-1].text == "(":
+            return word(-2) in heads or word(-2) == "await" and word(-3) == "for"
+        if out[-1].text != "{":
+            return False
+        if word(-2) in ("else", "do", "try", "finally"):
+            return True
+        if len(out) > 2 and out[-2].kind == "group" and out[-2].text == "(":
+            # if (..) {..}, or a function declaration that begins a statement
+            if word(-3) in heads:
+                return True
+            name = -4 if word(-3) != "function" else -3
+            start = name - 1 if word(name - 1) == "async" else name
+            before = out[start - 1] if len(out) >= 1 - start else None
+            return word(name) == "function" and (before is None or before.text in (";", "{") or before.kind == "group" and before.text == "{")
+        return len(out) == 1 or out[-2].text == ";"
+
     def token(self, out: list[Node]) -> Node:
         s, at = self.s, self.at
         c = s[at]

@@ -68,7 +68,9 @@ def reexport_closure(own: DataFrame, named: DataFrame, stars: DataFrame, depth:
     for _ in range(depth):
         far = trace.select(F.col("pkg").alias("from_pkg"), F.col("symbol").alias("from_symbol"), "source_pkg", "source_symbol", (F.col("hops") + 1).alias("hops"))
         by_name = named.join(far, ["from_pkg", "from_symbol"]).select("pkg", "symbol", "source_pkg", "source_symbol", "hops", F.lit(1).alias("__rank"), F.lit(0).alias("__ord"))
-        by_star = stars.join(far.where("from_symbol <> 'default'"), "from_pkg").select("pkg", F.col("from_symbol").alias("symbol"), "source_pkg", "source_symbol", "hops", F.lit(2).alias("__rank"), F.col("ord").alias("__ord"))
+        by_star = stars.join(far, "from_pkg").select("pkg", F.col("from_symbol").alias("symbol"), "source_pkg", "source_symbol", "hops", F.lit(2).alias("__rank"), F.col("ord").alias("__ord"))
+        # a symbol that is named is not looked for in stars
+        by_star = by_star.join(named.select("pkg", "symbol").distinct(), ["pkg", "symbol"], "left_anti")
         every = zero.withColumns({"__rank": F.lit(0), "__ord": F.lit(0)}).unionByName(by_name).unionByName(by_star)
         every = every.where((F.col("hops") == 0) | (F.col("source_pkg") != F.col("pkg")))
         trace = checkpoint(first_by(every, ["pkg", "symbol"], [F.col("__rank"), F.col("__ord"), F.col("hops"), F.col("source_pkg"), F.col("source_symbol")]).drop("__rank", "__ord"))
@@ -86,19 +88,22 @@ def backing_closure(own: DataFrame, files: DataFrame, named: DataFrame, stars: D
     """(lib_id, symbol, backed): whether the file that owns a symbol imports the design system.
 
     ``own``: lib_id, file, symbol; ``files``: lib_id, file, imports_ds; ``named``: lib_id,
-    file, symbol, target, local; ``stars``: lib_id, file, target. Same-named symbols of a
-    library are OR-ed. Stars pass the own components of their direct target.
+    file, symbol, target, local; ``stars``: lib_id, file, target. A named export follows
+    named exports and stars to an owner, through at most ``depth`` more files; without one it
+    is not backed. A star passes the own components of its direct target. Same-named
+    symbols of a library are OR-ed.
     """
-    zero = own.join(files, ["lib_id", "file"], "left").select("lib_id", "file", "symbol", F.coalesce("imports_ds", F.lit(False)).alias("backed"))
-    known = checkpoint(zero.groupBy("lib_id", "file", "symbol").agg(F.bool_or("backed").alias("backed")))
-    frontier = known
-    fan = stars.join(zero.where("symbol <> 'default'").withColumnRenamed("file", "target"), ["lib_id", "target"]).select("lib_id", "file", "symbol", "backed")
+    keys = ["lib_id", "file", "symbol"]
+    zero = own.join(files, ["lib_id", "file"], "left").select(*keys, F.coalesce("imports_ds", F.lit(False)).alias("backed"))
+    zero = checkpoint(zero.groupBy(*keys).agg(F.bool_or("backed").alias("backed")))
+    to = lambda df: df.select("lib_id", F.col("file").alias("target"), F.col("symbol").alias("local"), "backed")
+    trace = zero
     for _ in range(depth):
-        source = frontier.select("lib_id", F.col("file").alias("target"), F.col("symbol").alias("local"), "backed")
-        new = named.join(source, ["lib_id", "target", "local"]).select("lib_id", "file", "symbol", "backed").unionByName(fan)
-        new = new.groupBy("lib_id", "file", "symbol").agg(F.bool_or("backed").alias("backed"))
-        frontier = checkpoint(new.join(known, ["lib_id", "file", "symbol"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
-    return known.groupBy("lib_id", "symbol").agg(F.bool_or("backed").alias("backed"))
+        by_name = named.join(to(trace), ["lib_id", "target", "local"]).select(*keys, "backed")
+        by_star = stars.join(to(trace), ["lib_id", "target"]).select("lib_id", "file", F.col("local").alias("symbol"), "backed")
+        new = by_name.unionByName(by_star).join(zero, keys, "left_anti").groupBy(*keys).agg(F.bool_or("backed").alias("backed"))
+        trace = checkpoint(zero.unionByName(new))
+    direct = named.join(to(trace), ["lib_id", "target", "local"], "left").select("lib_id", "symbol", F.coalesce("backed", F.lit(False)).alias("backed"))
+    fan = stars.join(to(zero).where("local <> 'default'"), ["lib_id", "target"]).select("lib_id", F.col("local").alias("symbol"), "backed")
+    every = zero.select("lib_id", "symbol", "backed").unionByName(direct).unionByName(fan)
+    return every.groupBy("lib_id", "symbol").agg(F.bool_or("backed").alias("backed"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
+
 
 def usage_counters(pending: DataFrame, aliases: DataFrame) -> DataFrame:
     """profile_id, usage_count, files_used_in. ``pending``: repo_id, def_file, symbol,
@@ -24,3 +26,10 @@ def synthetic_shadows(pending: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("component_name", "file_path", "local_lib_id"), F.struct("file_ord", "site_ord"))
     found = pending.groupBy("repo_id", "def_file", "symbol").agg(F.count("*").alias("usage_count"), first.alias("f"))
     return found.select("repo_id", "def_file", "symbol", "f.*", "usage_count", F.lit(1).cast("long").alias("files_used_in"), F.lit("possible").alias("shadow_level"))
+
+
+def shadow_rows(judged: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+    """Shadow components of a dataset: judged profiles that are shadows and in use, and synthetic ones, with the hints of their paths."""
+    hint = {"directory_segments": X.directory_segments(F.col("file_path")), "feature": X.feature(F.col("file_path"))}
+    own = judged.where("bucket = 'shadow' AND usage_count > 0")
+    return own.withColumns(hint).select(*columns).unionByName(synthetic.withColumns(hint).select(*columns))

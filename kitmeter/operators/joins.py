@@ -20,8 +20,14 @@ def small(df: DataFrame) -> DataFrame:
 def bind(usages: DataFrame, bindings: DataFrame) -> DataFrame:
     """Each usage with the import binding of its base identifier, if any."""
     left = usages.withColumn("base", X.base_name(F.col("tag")))
-    right = bindings.select("repo_id", "file", F.col("local").alias("base"), "source", "imported", "is_namespace")
-    return left.join(right, ["repo_id", "file", "base"], "left")
+    return left.join(bindings.withColumnRenamed("local", "base"), ["repo_id", "file", "base"], "left")
+
+
+def ds_match(imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """Adds package (of an external import) and is_ds_package: whether the design system has it. ``packages``: package, distinct."""
+    named = imports.withColumn("package", F.when(F.col("kind") == "external", F.col("target")))
+    joined = named.join(small(packages.select("package", F.lit(True).alias("__ds"))), "package", "left")
+    return joined.withColumn("is_ds_package", F.coalesce("__ds", F.lit(False))).drop("__ds")
 
 
 def canonical_package(usages: DataFrame, reexports: DataFrame) -> DataFrame:
@@ -40,10 +46,10 @@ def match_library(imports: DataFrame, libraries: DataFrame) -> DataFrame:
 
 
 def library_backing(usages: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Adds lib_backed: what the prescan knows of the symbol, else the library's kind."""
-    right = symbols.select("lib_id", F.col("symbol").alias("__symbol"), "backed")
+    """Adds lib_backed: what the prescan knows of the symbol in the repo's library, else the library's kind."""
+    right = symbols.select("repo_id", "lib_id", F.col("symbol").alias("__symbol"), "backed")
     left = usages.withColumn("__symbol", F.coalesce("imported", F.lit("default")))
-    return left.join(small(right), ["lib_id", "__symbol"], "left").withColumn("lib_backed", F.coalesce("backed", F.col("lib_kind") == "partially-backed")).drop("backed", "__symbol")
+    return left.join(small(right), ["repo_id", "lib_id", "__symbol"], "left").withColumn("lib_backed", F.coalesce("backed", F.col("lib_kind") == "partially-backed")).drop("backed", "__symbol")
 
 
 def override_libraries(shared: DataFrame, own: DataFrame) -> DataFrame:
@@ -52,6 +58,13 @@ def override_libraries(shared: DataFrame, own: DataFrame) -> DataFrame:
     return own.withColumn("scope", F.lit(0)).unionByName(rest.withColumn("scope", F.lit(1)))
 
 
+def override_registries(shared: DataFrame, own: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols (lib_id, symbol, backed) where a repo's library replaces the shared one of its lib_id, whole, and the distinct
+    ids of libraries that failed in either (``failed``: lib_id)."""
+    rest = shared.join(own.select("lib_id").distinct(), "lib_id", "left_anti")
+    return own.unionByName(rest), failed.select("lib_id").distinct()
+
+
 def defining_symbol(tag, imported, in_library, has_binding):
     """The name a component has where it is defined: of a member the last part (not in libraries), of a default import ``default``."""
     return F.when(~has_binding, tag).when(~in_library & tag.contains("."), X.last_segment(tag)).otherwise(F.coalesce(imported, F.lit("default")))

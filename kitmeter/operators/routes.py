@@ -14,6 +14,16 @@ def last_entry(entries: DataFrame) -> DataFrame:
     return first_by(entries, ["repo_id", "path"], [F.col("ord").desc()])
 
 
+def enabled(own, shared):
+    """Whether routes are looked for: the repo's setting, else the shared one, else yes."""
+    return F.coalesce(own, shared, F.lit(True))
+
+
+def import_edges(resolved: DataFrame) -> DataFrame:
+    """(repo_id, src, dst): distinct edges between files of a repo; names fold case. ``resolved``: repo_id, file, kind, target."""
+    return resolved.where("kind = 'in-repo'").select("repo_id", F.lower("file").alias("src"), F.lower("target").alias("dst")).distinct()
+
+
 def route_files(entries: DataFrame, edges: DataFrame, sites: DataFrame, depth: int = closures.REACH_DEPTH) -> DataFrame:
     """(repo_id, path, file): files reachable from a route's page, and every router file of the repo.
 

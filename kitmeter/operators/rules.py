@@ -90,3 +90,24 @@ def stage_b(profiles: DataFrame, primitives: Column | None = None, reusable: int
         })
         .drop("__rule", "__all", "__neither")
     )
+
+
+def finalise(bound: DataFrame, aliases: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The last word on usages: pending ones take the verdict of the profile that their (def_file, symbol)
+    stands for; without a profile a library usage is a possible shadow and any other is neither.
+
+    ``bound``: stage A with repo_id, def_file, symbol; ``aliases``: repo_id, def_file, symbol,
+    profile_id; ``verdict``: profile_id, b_bucket, b_source, b_level."""
+    done = bound.join(aliases, ["repo_id", "def_file", "symbol"], "left").join(verdict, "profile_id", "left")
+    lost = F.col("pending") & F.col("profile_id").isNull()
+    library = F.col("rule") == 4
+    return done.withColumns({
+        "bucket": F.coalesce("bucket", "b_bucket", F.when(lost & library, "shadow").otherwise("neither")),
+        "classification_source": F.coalesce("classification_source", "b_source", F.when(lost & library, "parallel-local-ui").otherwise("utility-heuristic")),
+        "shadow_level": F.when(F.col("pending"), F.coalesce("b_level", F.when(lost & library, "possible"))),
+    })
+
+
+def primitives_of(repos: DataFrame, shared: list[str]) -> DataFrame:
+    """(repo_id, primitives): a repo's own list of names, else the shared one. ``repos``: repo_id, own (array or null)."""
+    return repos.select("repo_id", F.coalesce("own", F.array(*map(F.lit, shared)) if shared else F.array().cast("array<string>")).alias("primitives"))

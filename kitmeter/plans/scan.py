@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
@@ -49,32 +49,48 @@ class Scan:
     ds_version: str = "unknown"
 
 
+def _row(repo: str, file: str, path: str | None, snippet_lines: int, read: Callable[[], str]) -> dict[str, Any]:
+    row: dict[str, Any] = {"repo_id": repo, "file": file, "abs_path": path, "code": None, "message": None, "facts": None} | {k: [] for k in ("bindings", "elements", "profiles", "named", "stars", "references")}
+    try:
+        source = read()
+    except OSError as e:
+        return row | {"code": "file-read-failed", "message": str(e)[:200]}
+    try:
+        x = Facts(source, file.endswith(("tsx", "jsx")), snippet_lines)
+    except (SyntaxError, RecursionError) as e:
+        return row | {"code": "parse-failed", "message": str(e)[:200]}
+    own = {"constants": x.constants, "bindings": x.bindings, "named": x.named, "stars": x.stars, "own": x.own, "local_exports": x.local_exports, "sites": x.sites}
+    return row | {"bindings": [{"local": k, "source": s, "imported": i, "is_namespace": n} for k, (s, i, n) in x.bindings.items()], "elements": x.elements, "profiles": x.profiles, "named": x.named, "stars": x.stars, "references": sorted(set(x.references)), "facts": json.dumps(own)}
+
+
+_COLUMNS = ["repo_id", "file", "abs_path", "code", "message", "bindings", "elements", "profiles", "named", "stars", "references", "facts"]
+
+
+def _text(path: str) -> str:
+    with open(path, encoding="utf-8", errors="replace") as f:
+        return f.read()
+
+
 def read_facts(files: DataFrame, snippet_lines: int) -> DataFrame:
     """One row for each file (repo_id, file, abs_path): its facts, or a warning's code and message."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            out = []
-            for repo, file, path in zip(part["repo_id"], part["file"], part["abs_path"]):
-                row: dict[str, Any] = {"repo_id": repo, "file": file, "abs_path": path, "code": None, "message": None, "facts": None} | {k: [] for k in ("bindings", "elements", "profiles", "named", "stars", "references")}
-                try:
-                    with open(path, encoding="utf-8", errors="replace") as f:
-                        source = f.read()
-                except OSError as e:
-                    out.append(row | {"code": "file-read-failed", "message": str(e)[:200]})
-                    continue
-                try:
-                    x = Facts(source, file.endswith(("tsx", "jsx")), snippet_lines)
-                except (SyntaxError, RecursionError) as e:
-                    out.append(row | {"code": "parse-failed", "message": str(e)[:200]})
-                    continue
-                own = {"constants": x.constants, "bindings": x.bindings, "named": x.named, "stars": x.stars, "own": x.own, "local_exports": x.local_exports, "sites": x.sites}
-                out.append(row | {"bindings": [{"local": k, "source": s, "imported": i, "is_namespace": n} for k, (s, i, n) in x.bindings.items()], "elements": x.elements, "profiles": x.profiles, "named": x.named, "stars": x.stars, "references": sorted(set(x.references)), "facts": json.dumps(own)})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ("repo_id", "file", "abs_path", "code", "message", "bindings", "elements", "profiles", "named", "stars", "references", "facts")])
+            yield pd.DataFrame([_row(r, f, p, snippet_lines, lambda p=p: _text(p)) for r, f, p in zip(part["repo_id"], part["file"], part["abs_path"])], columns=_COLUMNS)
 
     return files.mapInPandas(run, FACTS)
 
 
+def facts_of(sources: DataFrame, snippet_lines: int = 50) -> DataFrame:
+    """The same of sources that are a column already: repo_id, file, source."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame([_row(r, f, None, snippet_lines, lambda s=s: s) for r, f, s in zip(part["repo_id"], part["file"], part["source"])], columns=_COLUMNS)
+
+    return sources.select("repo_id", "file", "source").mapInPandas(run, FACTS)
+
+
 def resolve_modules(facts: DataFrame, listing: DataFrame) -> DataFrame:
     """(repo_id, file, source, kind, target) of each distinct specifier of each file. ``listing``: repo_id, path, tsconfig (text, on one row)."""
     source = F.explode(F.array_distinct(F.concat(F.transform("bindings", lambda b: b["source"]), F.col("references"))))
@@ -139,18 +155,15 @@ def scan(spark: SparkSession, c: C.Config, repos: list[C.Repo]) -> Scan:
 
     # imports with what they resolve to
     imports = facts.select("repo_id", "file", F.explode("bindings").alias("b")).select("repo_id", "file", "b.*")
-    imports = imports.join(resolved, ["repo_id", "file", "source"]).withColumn("package", F.when(F.col("kind") == "external", F.col("target")))
-    imports = imports.join(joins.small(ds.withColumn("is_ds", F.lit(True))), "package", "left")
-    imports = imports.withColumns({"is_ds_package": F.coalesce("is_ds", F.lit(False)), "resolved_file": F.when(F.col("kind") == "in-repo", F.lower("target")), "import_id": F.concat_ws("\0", "repo_id", "file", "local")}).drop("is_ds")
+    imports = joins.ds_match(imports.join(resolved, ["repo_id", "file", "source"]), ds)
+    imports = imports.withColumns({"resolved_file": F.when(F.col("kind") == "in-repo", F.lower("target")), "import_id": F.concat_ws("\0", "repo_id", "file", "local")})
     imports = joins.canonical_package(imports, reexports)
     imports = imports.join(joins.match_library(imports.where("NOT is_ds_package").select("import_id", "repo_id", "source", "resolved_file"), libs), "import_id", "left")
-    right = backing.select("repo_id", "lib_id", F.col("symbol").alias("__symbol"), "backed")
-    imports = imports.withColumn("__symbol", F.coalesce("imported", F.lit("default"))).join(right, ["repo_id", "lib_id", "__symbol"], "left")
-    imports = checkpoint(imports.withColumn("lib_backed", F.coalesce("backed", F.col("lib_kind") == "partially-backed")).drop("backed", "__symbol", "import_id"))
+    imports = checkpoint(joins.library_backing(imports, backing).drop("import_id"))
 
     # usages, stage A
     elements = facts.select("repo_id", "file", F.explode("elements").alias("e")).select("repo_id", "file", "e.*")
-    bound = elements.join(imports.withColumnRenamed("local", "base"), ["repo_id", "file", "base"], "left")
+    bound = joins.bind(elements, imports)
     bound = rules.stage_a(bound.withColumn("resolved_kind", F.col("kind")))
     in_library, has = F.col("rule") == 4, F.col("source").isNotNull()
     bound = checkpoint(bound.withColumns({
@@ -185,35 +198,25 @@ def scan(spark: SparkSession, c: C.Config, repos: list[C.Repo]) -> Scan:
     # counters, stage B
     pending = bound.where("pending").withColumn("importer", F.lower("file"))
     counts = counters.usage_counters(pending.select("repo_id", "def_file", "symbol", "importer"), aliases)
-    own = {r.repo_id: r.primitives for r in repos if r.primitives is not None}
-    names_of = spark.createDataFrame([(r.repo_id, own.get(r.repo_id) or (c.primitives if r.repo_id not in own else [])) for r in repos], "repo_id string, primitives array<string>")
+    names_of = rules.primitives_of(spark.createDataFrame([(r.repo_id, r.primitives) for r in repos], "repo_id string, own array<string>"), c.primitives)
     judged = profiles.join(counts, "profile_id", "left").fillna(0, ["usage_count", "files_used_in"]).join(names_of, "repo_id")
     judged = checkpoint(rules.stage_b(judged, F.col("primitives"), c.reusable_files, c.substantial_elements))
     verdict = judged.select("profile_id", F.col("bucket").alias("b_bucket"), F.col("classification_source").alias("b_source"), F.col("shadow_level").alias("b_level"))
-    done = bound.join(aliases, ["repo_id", "def_file", "symbol"], "left").join(verdict, "profile_id", "left")
-    lost = F.col("pending") & F.col("profile_id").isNull()
-    library = F.col("rule") == 4
-    done = done.withColumns({
-        "bucket": F.coalesce("bucket", "b_bucket", F.when(lost & library, "shadow").otherwise("neither")),
-        "classification_source": F.coalesce("classification_source", "b_source", F.when(lost & library, "parallel-local-ui").otherwise("utility-heuristic")),
-        "shadow_level": F.when(F.col("pending"), F.coalesce("b_level", F.when(lost & library, "possible"))),
-    })
-
-    shadow = judged.where("bucket = 'shadow' AND usage_count > 0")
+    done = rules.finalise(bound, aliases, verdict)
+
     none = F.array().cast("array<string>")
     synthetic = pending.join(aliases, ["repo_id", "def_file", "symbol"], "left_anti").where("rule = 4")
     synthetic = counters.synthetic_shadows(synthetic.select("repo_id", "def_file", "symbol", F.col("tag").alias("component_name"), F.col("file").alias("file_path"), "local_lib_id", F.col("file").alias("file_ord"), F.col("ord").alias("site_ord")))
     synthetic = synthetic.withColumns({"prop_names": none, "jsx_element_count": F.lit(0), "local_imports": none, "ds_imports": none, "html_tags": none, "uses_styled": F.lit(False), "code_snippet": F.lit(""), "code_snippet_truncated": F.lit(False), "signals": none})
-    hint = {"directory_segments": X.directory_segments(F.col("file_path")), "feature": X.feature(F.col("file_path"))}
     columns = [f.name for f in SHADOW]
-    shadow = shadow.withColumns(hint).select(*columns).unionByName(synthetic.withColumns(hint).select(*columns))
+    shadow = counters.shadow_rows(judged, synthetic, columns)
 
     # routes
     off = [r.repo_id for r in repos if not (c.routes if r.routes is None else r.routes)]
     routed = facts if not off else facts.where(~F.col("repo_id").isin(off))
     found = checkpoint(route_entries(routed.select("repo_id", "file", "facts"), resolved))
     entries = found.where("path IS NOT NULL").withColumn("page", F.lower("page"))
-    edges = inside.select("repo_id", F.lower("file").alias("src"), F.col("target").alias("dst"))
+    edges = routes.import_edges(resolved)
     bound_files = routes.route_files(entries, edges, found.where("path IS NULL").select("repo_id", F.lower("site").alias("file")), c.depth)
     file_routes = routes.bind_files(routed.select("repo_id", F.lower("file").alias("file")), bound_files)
     file_routes = checkpoint(routed.select("repo_id", "file", F.lower("file").alias("k")).join(file_routes.withColumnRenamed("file", "k"), ["repo_id", "k"]).select("repo_id", "file", "route"))
