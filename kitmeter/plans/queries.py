@@ -435,6 +435,9 @@ def s7_jsonl_round_trip(spark, d):
     return back.groupBy("repo_id").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), F.sum("col").alias("columns"), F.count("ds_package").alias("packages"))
 
 
+from . import relations as _relations  # noqa: E402, F401  registers its queries here
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
