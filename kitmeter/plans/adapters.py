@@ -42,20 +42,10 @@ FROM part
 """
 
 EDGE = """
-SELECT DISTINCT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, l_partkey % 97 AS src, (l_partkey * 31 + l_linenumber) % 97 AS dst FROM lineitem WHERE l_orderkey % 5 = 0
-"""
-
-ROUTE_USAGE = """
-SELECT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, concat('f', CAST(l_partkey % 199 AS STRING)) AS file, o_orderpriority AS path
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 60 < 3
-"""
-
-#: The two tables above without their modulo filters: every lineitem row.
-EDGE_ALL = """
 SELECT DISTINCT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, l_partkey % 97 AS src, (l_partkey * 31 + l_linenumber) % 97 AS dst FROM lineitem
 """
 
-ROUTE_USAGE_ALL = """
+ROUTE_USAGE = """
 SELECT concat('r', CAST(l_suppkey % 5 AS STRING)) AS repo_id, concat('f', CAST(l_partkey % 199 AS STRING)) AS file, o_orderpriority AS path
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
@@ -85,8 +75,8 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, USAGE).withColumn("route", route).drop("route_kind", "route_path", "route_paths")
 
 
-def shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, SHADOW).withColumn("prop_names", F.array("prop")).withColumn("signals", F.array(F.lit("substantial-markup")))
+def shadow(spark: SparkSession, sf_dir: str, sql: str = SHADOW) -> DataFrame:
+    return run(spark, sf_dir, sql).withColumn("prop_names", F.array("prop")).withColumn("signals", F.array(F.lit("substantial-markup")))
 
 
 def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
