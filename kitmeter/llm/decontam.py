@@ -52,6 +52,9 @@ BROADCAST_ROWS = 100_000
 #: Positions between two documents of a chunk, so that no match spans both.
 GAP = 1024
 
+#: Blobs are compressed already; small row groups keep little of them in memory.
+_WRITE = {"compression": "none", "parquet.block.size": str(8 << 20)}
+
 INDEX = "doc_ids array<long>, keys array<long>, n_words array<long>, hashes binary, sizes binary, spelled binary, lengths binary, postings binary"
 HITS = "chunk long, number int, items array<string>, near array<string>, spans array<int>, near_spans array<struct<item:string,first_word:int,end_word:int>>"
 
@@ -256,7 +259,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
 
 def write_index(docs: DataFrame, path: str) -> DataFrame:
     """Writes the index of a table of documents and returns it; ``chunk`` numbers its rows."""
-    build_index(common.text_column(docs, "doc_id", "text")).withColumn("chunk", F.monotonically_increasing_id()).write.parquet(path)
+    build_index(common.text_column(docs, "doc_id", "text")).withColumn("chunk", F.monotonically_increasing_id()).write.options(**_WRITE).parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

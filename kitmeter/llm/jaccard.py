@@ -64,7 +64,7 @@ BROADCAST_ROWS = 500_000
 
 _FLUSH = 1 << 21
 #: Pairs of a block of postings that are looked at in one step.
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
 _SHIFT = np.uint64(20)
 _FIXED = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -198,8 +198,17 @@ def list_pairs(rows: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.nda
     rows = rows[np.lexsort((rows["n"], rows["h"]))]
     first = np.flatnonzero(np.concatenate(([True], rows["h"][1:] != rows["h"][:-1])))
     length = np.diff(np.append(first, len(rows)))
-    found: list[np.ndarray] = []
-    n, node = rows["n"].astype(np.int64), rows["node"]
+    names, node = np.unique(rows["node"], return_inverse=True)
+    n = rows["n"].astype(np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def sums() -> tuple[np.ndarray, np.ndarray]:
+        if len(held) < 2:
+            return held[0] if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return codes, np.bincount(at, np.concatenate([k for _, k in held])).astype(np.int64)
+
     # a row meets those after it in its list that are not too large to link with it
     last = np.repeat(first + length, length)
     most = n * 100 // share
@@ -216,14 +225,16 @@ def list_pairs(rows: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.nda
         own = meets[at:end]
         x = np.repeat(np.arange(at, end), own)
         y = np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own) + x + 1
-        found.append(np.sort(np.stack((node[x], node[y]), 1), axis=1))
+        a, b = node[x], node[y]
+        codes, counts = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b), return_counts=True)
+        held.append((codes, counts))
+        size += len(codes)
+        if size > 4 * _PAIRS:
+            held = [sums()]
+            size = len(held[0][0])
         at = end
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    pairs = np.concatenate(found)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))) if len(pairs) else np.zeros(0, np.int64)
-    return pairs[new, 0], pairs[new, 1], np.diff(np.append(new, len(pairs)))
+    codes, counts = sums()
+    return names[codes // max(len(names), 1)], names[codes % max(len(names), 1)], counts
 
 
 def _binary(x: np.ndarray) -> bytes:
