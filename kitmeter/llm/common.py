@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 #: Bytes A-Z as a-z, all others as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -129,6 +130,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows in an Arrow batch of this session, which is held whole on both sides of a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def text_column(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of a table that may carry others of any name."""
+    bounded_batches(df.sparkSession)
     return df.select(*[df[f"`{x}`"].alias(x) for x in names])
