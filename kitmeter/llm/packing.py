@@ -43,8 +43,8 @@ END_ID = 0
 GROUP = 20_000
 
 
-#: Words whose ids a worker keeps.
-_KEPT = 1 << 19
+#: Words whose ids a worker keeps, in each of two generations.
+_KEPT = 1 << 16
 
 #: The file's splitting pattern, for texts of letters, decimal digits, signs and simple white space.
 _WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -67,6 +67,7 @@ class Tokenizer:
         self._special = [x.content for x in self._file.get_added_tokens_decoder().values()]
         self._plain = {chr(k): True for k in range(32, 127)} | dict.fromkeys("\t\n\r", True)
         self._ids: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _is_plain(self, text: str) -> bool:
         for c in set(text):
@@ -90,10 +91,14 @@ class Tokenizer:
                 out.append(next(whole))
                 continue
             words = self._words(text)
-            new = list({w for w in words if w not in self._ids})
-            if len(self._ids) + len(new) > _KEPT:
-                self._ids.clear()
-                new = list(set(words))
+            missed = {w for w in words if w not in self._ids}
+            if len(self._ids) + len(missed) > _KEPT:
+                # words that go on occurring come back from the older generation
+                self._older, self._ids = self._ids, {}
+                missed = set(words)
+            known = [w for w in missed if w in self._older]
+            new = list(missed.difference(known))
+            self._ids.update((w, self._older[w]) for w in known)
             self._ids.update(zip(new, self._encoded(new)))
             out.append(b"".join(map(self._ids.__getitem__, words)))
         return out
