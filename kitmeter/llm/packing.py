@@ -44,7 +44,7 @@ GROUP = 20_000
 
 
 #: Words whose ids a worker keeps, in each of two generations.
-_KEPT = 1 << 16
+_KEPT = 1 << 17
 
 #: The file's splitting pattern, for texts of letters, decimal digits, signs and simple white space.
 _WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
