@@ -28,6 +28,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +45,11 @@ GROUP = 20_000
 
 
 #: Words whose ids a worker keeps, in each of two generations.
-_KEPT = 1 << 17
+_KEPT = 1 << 18
 
 #: The file's splitting pattern, for texts of letters, decimal digits, signs and simple white space.
 _WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_SIMPLE = re.compile(r" [^\W\d_]+").fullmatch
 
 
 class Tokenizer:
@@ -80,7 +82,26 @@ class Tokenizer:
         return not any(x in text for x in self._special)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self._file.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self._file.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words; those of a space and letters are encoded as one text, which splits into them again."""
+        simple = [w for w in words if _SIMPLE(w)]
+        if simple:
+            x = self._file.encode("".join(simple), add_special_tokens=False)
+            ids, ends = array("I", x.ids).tobytes(), np.flatnonzero(np.diff(x.word_ids, append=-1)) + 1
+            if len(ends) != len(simple):
+                raise ValueError("the file does not split its words as expected")
+            at = 0
+            for w, e in zip(simple, (4 * ends).tolist()):
+                yield w, ids[at:e]
+                at = e
+        others = [w for w in words if not _SIMPLE(w)]
+        yield from zip(others, self._encoded(others))
+
+    def rest(self) -> None:
+        """At the end of a task: a worker lives on, and keeps one generation."""
+        self._older = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self._words is not None and self._is_plain(x) for x in texts]
@@ -99,7 +120,7 @@ class Tokenizer:
             known = [w for w in missed if w in self._older]
             new = list(missed.difference(known))
             self._ids.update((w, self._older[w]) for w in known)
-            self._ids.update(zip(new, self._encoded(new)))
+            self._ids.update(self._new_words(new))
             out.append(b"".join(map(self._ids.__getitem__, words)))
         return out
 
@@ -143,6 +164,7 @@ def tokenised(docs: DataFrame, limit: int = SEQUENCE, vocabulary: str | None = N
                     arrays.append(pa.array(rows[5], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        t.rest()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return common.text_column(docs, "doc_id", "text").mapInArrow(run, schema)
