@@ -8,9 +8,10 @@ of a table. One very long text is a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +132,53 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """At most BATCH_ROWS rows in an Arrow batch of this session, which is held whole on both sides of a Python worker."""
+    """At most BATCH_ROWS rows, and no more rows beyond CHUNK_BYTES, in an Arrow batch of this session, which is held
+    whole on both sides of a Python worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", CHUNK_BYTES)
+
+
+#: What operators keep in a worker between their tasks, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator's tasks keep in this worker; see ``task``."""
+    return _KEPT.setdefault(owner, {})
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+def begin(owner: str) -> None:
+    """Drop what other operators kept in this worker."""
+    others = [x for x in _KEPT if x != owner]
+    for x in others:
+        del _KEPT[x]
+    if others:
+        trim()
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def task(run: Callable[[Batches], Batches], owner: str = "") -> Callable[[Batches], Batches]:
+    """The function of a mapInArrow step. Workers serve one operator after another and live on beside the
+    JVM: a task first drops what other operators kept, and at its end gives freed memory back."""
+
+    def whole(batches: Batches) -> Batches:
+        begin(owner)
+        yield from run(batches)
+        trim()
+
+    return whole
 
 
 def text_column(df: DataFrame, *names: str) -> DataFrame:

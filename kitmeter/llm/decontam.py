@@ -112,7 +112,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 kinds = (*[pa.list_(pa.int64())] * 3, *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    return rows.mapInArrow(run, INDEX)
+    return rows.mapInArrow(common.task(run), INDEX)
 
 
 class Postings:
@@ -238,7 +238,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
                     kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(near))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["chunk", "number", "items", "near", "spans", "near_spans"])
 
-        hits = common.checkpoint(index.select("chunk", "n_words", "hashes", "sizes", "spelled", "lengths", "postings").mapInArrow(run, HITS))
+        hits = common.checkpoint(index.select("chunk", "n_words", "hashes", "sizes", "spelled", "lengths", "postings").mapInArrow(common.task(run), HITS))
         sent.destroy()
         found = hits if found is None else found.unionByName(hits)
     if blocks == 1:

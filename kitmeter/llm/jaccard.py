@@ -156,7 +156,7 @@ def _heavy(docs: DataFrame, n: int, ranges: int) -> tuple[np.ndarray, np.ndarray
         keep = df > HEAVY
         return pd.DataFrame({"h": values[first[keep]].astype(np.int64), "df": df[keep].astype(np.int64)})
 
-    found = docs.select("text").mapInArrow(run, "range int, blob binary").groupBy("range").applyInPandas(count, "h long, df long")
+    found = docs.select("text").mapInArrow(common.task(run), "range int, blob binary").groupBy("range").applyInPandas(count, "h long, df long")
     found = common.checkpoint(found)
     kept = found.orderBy(F.desc("df"), "h").limit(HEAVY_MOST).toPandas().sort_values("h")
     return kept["h"].to_numpy().astype(np.uint64), kept["df"].to_numpy()
@@ -308,7 +308,7 @@ class Join:
                     own = sets(part.column("text"), n)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in own], pa.int64()), pa.array(map(digest, own), pa.binary())], names=["doc_id", "n", "fp"])
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, fp binary")
+        return self.docs.mapInArrow(common.task(run), "doc_id long, n long, fp binary")
 
     def _nodes(self) -> DataFrame:
         """node, doc_id, n, fp, light, heavy, cells, and copies, the documents of the set, of each distinct set; a task sends one row for each set and chunk."""
@@ -338,7 +338,7 @@ class Join:
                     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "fp", "light", "heavy", "cells", "copies"])
 
-        rows = self.docs.mapInArrow(run, "doc_id long, n int, fp binary, light binary, heavy binary, cells binary, copies long")
+        rows = self.docs.mapInArrow(common.task(run), "doc_id long, n int, fp binary, light binary, heavy binary, cells binary, copies long")
         one = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), *[F.first(x).alias(x) for x in ("n", "light", "heavy", "cells")])
         return common.checkpoint(one.withColumn("node", F.monotonically_increasing_id()))
 
@@ -368,7 +368,7 @@ class Join:
             a, b, c = list_pairs(np.concatenate([unpack_rows(x, open_) for x in part["rows"]]), share)
             return pd.DataFrame({"a": a, "b": b, "overlap": c})
 
-        postings = self.nodes.select("node", "n", "light").mapInArrow(deal, "range int, rows binary")
+        postings = self.nodes.select("node", "n", "light").mapInArrow(common.task(deal), "range int, rows binary")
         pairs = postings.groupBy("range").applyInPandas(multiply, "a long, b long, overlap long")
         pairs = pairs.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
         cells = self.nodes.select("node", "n", "cells", (F.col("n") - F.octet_length("light") / 8).cast("int").alias("rest"))
@@ -386,7 +386,7 @@ class Join:
                 need = needed(batch.column("na").to_numpy().astype(np.int64), batch.column("nb").to_numpy().astype(np.int64), share)
                 yield batch.filter(pa.array(most >= need)).select(["a", "b"])
 
-        return bounded.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(bound, "a long, b long")
+        return bounded.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(common.task(bound), "a long, b long")
 
     def _sets_of(self, wanted: DataFrame) -> DataFrame:
         """(fp, own): the whole sets of some nodes (node, doc_id, fp), from the texts; dealt by fp."""
@@ -401,7 +401,7 @@ class Join:
                     own = {digest(x): x for x in sets(part.column("text"), n) if len(x)}
                     yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(map(_binary, own.values()), pa.binary())], names=["fp", "own"])
 
-        return texts.mapInArrow(run, "fp binary, own binary").groupBy("fp").agg(F.first("own").alias("own"))
+        return texts.mapInArrow(common.task(run), "fp binary, own binary").groupBy("fp").agg(F.first("own").alias("own"))
 
     def _light_links(self, pairs: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
         """Links among candidate pairs: the sets of a node's partners meet the node's own."""
@@ -428,7 +428,7 @@ class Join:
                 node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in rows])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), pa.array(node)], names=["h", "node"])
 
-        rows = common.checkpoint(self.nodes.where(F.octet_length("heavy") > 0).select("node", "heavy").mapInArrow(split, "h long, node long"))
+        rows = common.checkpoint(self.nodes.where(F.octet_length("heavy") > 0).select("node", "heavy").mapInArrow(common.task(split), "h long, node long"))
         return graph.components(graph.with_least(rows, "h", "node").select(F.col("m").alias("a"), F.col("node").alias("b")))
 
     def _heavy_links(self, groups: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:

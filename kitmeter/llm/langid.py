@@ -137,7 +137,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
                 at = [np.flatnonzero(x) for x in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([f[x].astype("<u4").tobytes() for f, x in zip(found, at)], pa.binary())], names=["doc_id", "lang", "at", "n"])
 
-    drawn = rows.where(draw < rate).mapInArrow(run, "doc_id long, lang string, at binary, n binary").collect()
+    drawn = rows.where(draw < rate).mapInArrow(common.task(run), "doc_id long, lang string, at binary, n binary").collect()
     drawn = sorted((r for r in drawn if r["at"]), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["at"], r["n"]))
     if not drawn:
         return None
@@ -190,7 +190,7 @@ def _identified(docs: DataFrame, model: Model | None, kept: list[str]) -> DataFr
                 names, score, rejected = predict(sent.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected), *(part.column(f.name) for f in extra)], names=["doc_id", "held_out", "lang_pred", "score", "rejected", *(f.name for f in extra)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.task(run), schema)
 
 
 def identify(docs: DataFrame, model: Model | None = None, keep: list[str] | None = None) -> DataFrame:

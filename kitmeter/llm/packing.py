@@ -125,14 +125,12 @@ class Tokenizer:
         return out
 
 
-_TOKENIZERS: dict[str | None, Tokenizer] = {}
-
-
 def tokenizer(vocabulary: str | None = None) -> Tokenizer:
-    """One for each worker process and vocabulary."""
-    if vocabulary not in _TOKENIZERS:
-        _TOKENIZERS[vocabulary] = Tokenizer(vocabulary)
-    return _TOKENIZERS[vocabulary]
+    """One for each worker process and vocabulary, until the worker serves another operator."""
+    found = common.kept("packing")
+    if vocabulary not in found:
+        found[vocabulary] = Tokenizer(vocabulary)
+    return found[vocabulary]
 
 
 def pieces_of(ids: bytes, limit: int) -> list[tuple[int, int]]:
@@ -167,7 +165,7 @@ def tokenised(docs: DataFrame, limit: int = SEQUENCE, vocabulary: str | None = N
         t.rest()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return common.text_column(docs, "doc_id", "text").mapInArrow(run, schema)
+    return common.text_column(docs, "doc_id", "text").mapInArrow(common.task(run, "packing"), schema)
 
 
 def best_two_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
