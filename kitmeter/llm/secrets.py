@@ -68,7 +68,7 @@ _PACKED = 12
 _ALPHABETS = {"hex": "0123456789abcdefABCDEF", "base64": string.digits + string.ascii_letters + "+/_=-"}
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -102,9 +102,9 @@ def _spans(text: Column, pattern: str) -> Column:
 
     def placed(found: Column) -> Column:
         sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, s: F.length(g) + F.length(s))
-        return F.zip_with(_let(sizes, lambda x: walk(x, 0, lambda at, n: at + n)), found, lambda end, s: F.struct((end - F.length(s)).alias("start"), end.alias("end"), s.alias("string")))
+        return F.zip_with(let(sizes, lambda x: walk(x, 0, lambda at, n: at + n)), found, lambda end, s: F.struct((end - F.length(s)).alias("start"), end.alias("end"), s.alias("string")))
 
-    return _let(found, placed)
+    return let(found, placed)
 
 
 def _kept(spans: Column, keep, kind: str) -> Column:
@@ -162,7 +162,7 @@ def high_entropy(s: Column, alphabet: str, window: int, threshold: float) -> Col
         start = F.struct(F.array_repeat(F.lit(0).cast("long"), numbers).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
         return F.aggregate(moves, start, step, found)
 
-    return F.when(F.length(s) >= window, _let(F.transform(F.split(s, ""), lambda c: F.get(table, F.ascii(c))), whole))
+    return F.when(F.length(s) >= window, let(F.transform(F.split(s, ""), lambda c: F.get(table, F.ascii(c))), whole))
 
 
 def _entropy_spans(text: Column) -> Column:
@@ -183,7 +183,7 @@ def _free(spans: Column) -> Column:
     before ends later (seen forwards), or one that starts after starts inside (seen backwards)."""
     entropy = lambda x: x["kind"] == 3
     ended = walk(spans, 0, lambda end, x: F.when(entropy(x), end).otherwise(F.greatest(end, x["end"])))
-    started = F.reverse(_let(F.reverse(spans), lambda back: walk(back, (1 << 31) - 1, lambda start, x: F.when(entropy(x), start).otherwise(x["start"]))))
+    started = F.reverse(let(F.reverse(spans), lambda back: walk(back, (1 << 31) - 1, lambda start, x: F.when(entropy(x), start).otherwise(x["start"]))))
     around = F.zip_with(ended, started, lambda a, b: F.struct(a.alias("ended"), b.alias("started")))
     seen = F.zip_with(spans, around, lambda x, a: F.struct(x.alias("span"), (entropy(x) & ((a["ended"] > x["start"]) | (a["started"] < x["end"]))).alias("met")))
     return F.transform(F.filter(seen, lambda x: ~x["met"]), lambda x: x["span"])
@@ -213,7 +213,7 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "__base", spans:
     df = df.withColumn(spans, F.when(gate["entropy"], _entropy_spans(t)).otherwise(none))
     every = F.sort_array(F.concat(base, spans))
     both = (F.size(base) > 0) & (F.size(spans) > 0)
-    return df.withColumn(spans, F.when(both, _let(every, _free)).otherwise(every))
+    return df.withColumn(spans, F.when(both, let(every, _free)).otherwise(every))
 
 
 def _joined(spans: str) -> Column:
@@ -246,14 +246,14 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             base = F.get(block, F.lit(0))["at"]
             part = F.substr(t, base + 1, F.greatest(F.lit(0), F.element_at(block, -1)["start"] - base))
             piece = lambda own, x: F.when(x["start"] < x["at"], F.lit("")).otherwise(F.concat(F.substr(own, x["at"] - base + 1, x["start"] - x["at"]), F.lit(mark)))
-            return _let(part, lambda own: F.array_join(F.transform(block, lambda x: piece(own, x)), ""))
+            return let(part, lambda own: F.array_join(F.transform(block, lambda x: piece(own, x)), ""))
 
-        head = _let(before, lambda x: F.array_join(F.transform(blocks(x), cut), ""))
+        head = let(before, lambda x: F.array_join(F.transform(blocks(x), cut), ""))
         return F.concat(head, F.substr(t, F.element_at(ends, -1) + 1, F.length(t)))
 
     changed = F.size("spans") > 0
     ends = walk(F.col("spans"), 0, lambda at, x: F.greatest(at, x["end"]))
-    new = F.when(changed, _let(ends, pieces)).otherwise(t)
+    new = F.when(changed, let(ends, pieces)).otherwise(t)
     out = df.withColumn("new", new)
     if "n_chars" in names:
         n = own[names.index("n_chars")]

@@ -15,7 +15,7 @@ TABLES = ("documents", "benchmark", "pages", "labels", "conversations", "embeddi
 
 
 def test_names():
-    assert [f"op{k}_" for k in range(1, 11)] == [n.split("_")[0] + "_" for n in queries.queries()]
+    assert [f"op{k}_" for k in range(1, 14)] == [n.split("_")[0] + "_" for n in queries.queries()]
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
