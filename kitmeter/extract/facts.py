@@ -12,6 +12,8 @@ from .tree import Node, parse
 CUSTOMIZATION = frozenset(("className", "style", "css"))
 FACTORIES = frozenset(("createBrowserRouter", "createHashRouter", "createMemoryRouter"))
 JSX_DEPTH = 5
+#: Between the names of a member.
+SEP = "\x1f"
 
 _DECLARATIONS = frozenset("const let var function class async abstract enum interface type declare namespace module".split())
 _STATEMENTS = _DECLARATIONS | frozenset("import export if for while return switch try throw do break continue".split())
@@ -120,7 +122,9 @@ class Facts:
         self.named: list[dict[str, Any]] = []
         self.stars: list[dict[str, Any]] = []
         self.own: list[str] = []
-        self.local_exports: list[tuple[str, str]] = []
+        self.local_exports: list[tuple[str, str, int]] = []
+        self.exported_constants: dict[str, int] = {}
+        self.order = 0
         self.references: list[str] = []
         self.constants: dict[str, Any] = {}
         self._statements()
@@ -138,6 +142,7 @@ class Facts:
                 k = self._import(k + 1)
             elif head and n.text == "export":
                 order += 1
+                self.order = order
                 k = self._export(k + 1, order)
             elif head and n.text in ("const", "let", "var"):
                 k = self._variables(k, False)
@@ -213,7 +218,7 @@ class Facts:
                 self.references.append(source)
                 self.named += [{"source": source, "local": a, "exported": b, "ord": order} for a, b in specs if a]
                 return k + 2
-            self.local_exports += [x for x in specs if x[0]]
+            self.local_exports += [(*x, order) for x in specs if x[0]]
             return k
         if n.text == "default":
             self.own.append("default")
@@ -283,7 +288,6 @@ class Facts:
 
     def _variables(self, k: int, exported: bool) -> int:
         t = self.tree
-        constant = t[k].text == "const"
         k += 1
         while k < len(t):
             start = k
@@ -306,8 +310,10 @@ class Facts:
                 end = expression_end(t, k + 1)
                 init = t[k + 1 : end]
                 if name and init:
-                    if constant:
+                    if name not in self.constants:
                         self.constants[name] = constant_of(init)
+                        if exported:
+                            self.exported_constants[name] = self.order
                     if exported and component_name(name):
                         self._component(name, init, t[start].start, init[-1].end)
                 k = end
@@ -421,6 +427,38 @@ class Facts:
         return [[route(e[0]) for e in split(s.children, ",") if len(e) == 1 and e[0].kind == "group" and e[0].text == "{"] for s in sites]
 
 
+    # --- rows of the relations that routes are made from
+
+    def constant_rows(self) -> list[dict[str, Any]]:
+        """A row for each constant and each property inside it: name, member, kind, text, ord."""
+        out = []
+        stack = [(name, "", e) for name, e in self.constants.items()]
+        while stack:
+            name, member, e = stack.pop()
+            out.append({"name": name, "member": member, **expression(e), "ord": self.exported_constants.get(name) if not member else None})
+            if e["t"] == "obj":
+                stack += [(name, f"{member}{SEP}{x}" if member else x, v) for x, v in e["v"].items()]
+        return out
+
+    def route_rows(self) -> list[dict[str, Any]]:
+        """A row for each node of the route arrays in order of discovery: node, parent, path (kind, text), page, names."""
+        out: list[dict[str, Any]] = []
+        stack = [(r, None) for site in reversed(self.sites) for r in reversed(site)]
+        while stack:
+            r, parent = stack.pop()
+            page = r["page"]
+            v = page.get("v")
+            out.append({"node": len(out), "parent": parent, "path": expression(r["path"]) if r["path"] else None, "page": page["k"], "names": v if isinstance(v, list) else [v] if v else []})
+            stack += [(c, len(out) - 1) for c in reversed(r["children"])]
+        return out
+
+
+def expression(e: dict[str, Any]) -> dict[str, Any]:
+    """kind and text of a constant expression."""
+    v = e.get("v")
+    return {"kind": e["t"], "text": e["k"] if e["t"] == "other" else None if e["t"] == "obj" else SEP.join(v) if isinstance(v, list) else v}
+
+
 def calls(nodes: list[Node]) -> str:
     """call, tagged or '' for a chain of names, members, calls and templates."""
     k, last = 1, ""

@@ -30,7 +30,7 @@ def last_segment(tag: Column) -> Column:
 
 def package_name(specifier: Column) -> Column:
     """``@s/p/x`` as ``@s/p``, ``p/x`` as ``p``; a bare scope as it is."""
-    found = F.regexp_extract(specifier, "^(@[^/]+/[^/]+|[^/]+)", 1)
+    found = F.regexp_extract(specifier, "^(@[^/]*/[^/]*|[^/]+)", 1)
     return F.when(found == "", specifier).otherwise(found)
 
 
@@ -45,6 +45,18 @@ def directory_segments(path: Column) -> Column:
     return F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
+def dirname(path: Column) -> Column:
+    """The folder of a path; '' for a name without one."""
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def normal_path(path: Column) -> Column:
+    """A path without ``.``, ``..`` and empty segments; '' for the root, ``..`` first where it leaves the root."""
+    up = lambda done: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(F.lit(".."))))
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def feature(path: Column) -> Column:
     """The first segment after a segment ``features``, or null."""
     segments = directory_segments(path)

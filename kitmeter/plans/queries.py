@@ -436,6 +436,7 @@ def s7_jsonl_round_trip(spark, d):
 
 
 from . import relations as _relations  # noqa: E402, F401  registers its queries here
+from . import tracing as _tracing  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

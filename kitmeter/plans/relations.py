@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import closures, counters, joins, recommend, routes, rules
 from ..operators.recommend import Thresholds
+from ..session import checkpoint
 from . import adapters as A
 from . import scan as S
 from .queries import query
@@ -377,9 +378,10 @@ def x17_route_entries(spark, d):
     nation = spark.read.parquet(f"{d}/nation.parquet")
     files = F.array(*[F.struct(F.lit(name).alias("file"), F.replace(F.lit(text.replace("{{", "{").replace("}}", "}")), F.lit("{k}"), F.col("n_nationkey").cast("string")).alias("source")) for name, text in _ROUTER.items()])
     sources = nation.select(F.concat(F.lit("r"), "n_nationkey").alias("repo_id"), F.explode(files).alias("x")).select("repo_id", "x.*")
-    facts = S.facts_of(sources)
-    resolved = S.resolve_modules(facts, sources.select("repo_id", F.col("file").alias("path"), F.lit(None).cast("string").alias("tsconfig")))
-    found = S.route_entries(facts.select("repo_id", "file", "facts"), resolved).where("path IS NOT NULL")
+    facts = checkpoint(S.facts_of(sources))
+    configs = spark.createDataFrame([], "repo_id string, folder string, tsconfig string")
+    resolved = checkpoint(S.resolve_modules(facts, sources.select("repo_id", F.col("file").alias("path")), configs))
+    found = S.route_entries(facts, resolved)
     return found.select("repo_id", "path", "page", "symbol", F.substring_index("warning", ":", 1).alias("warning"))
 
 

@@ -1,9 +1,8 @@
 """The whole scan: sources on disk to usages, shadows, routes, metrics and files.
 
-All repositories go through one plan. Files are read and parsed in Python workers,
-one file a row; what follows is joins and aggregates keyed by repo. Only module
-resolution and route extraction are grouped Python, a repo at a time, as they walk
-a repo's own files. Registries come from the driver's prescan.
+All repositories go through one plan. Files are rows of a data source, read and
+parsed where the tasks run; what follows is joins and aggregates keyed by repo and file: module
+resolution, constants, pages and what defines them too, and the registries of packages and libraries.
 """
 
 from __future__ import annotations
@@ -11,32 +10,25 @@ from __future__ import annotations
 import json
 import os
 import time
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..extract.facts import Facts
-from ..extract.prescan import Registry, library_symbols
-from ..extract.resolve import Resolver, compiler_options
-from ..extract.routes import RepoRoutes
 from ..functions import expressions as X
-from ..operators import closures, counters, invariants, joins, metrics, recommend, routes, rules
+from ..operators import closures, counters, invariants, joins, metrics, modules, recommend, routes, rules
 from ..operators.metrics import first_by
 from ..schema import SHADOW, USAGE, WARNING, Vocabulary
 from ..session import checkpoint
 from ..sources import config as C
-from ..sources import records, sinks
+from ..sources import files, records, sinks
+from . import prescan
+from .facts import facts_of, specifiers
 
 VERSION = "0.1.0"
 
-_PROFILE = "struct<symbol:string,prop_names:array<string>,code_snippet:string,code_snippet_truncated:boolean,jsx_element_count:int,html_tags:array<string>,tags:array<string>,customized:array<string>,wrapped:array<string>,uses_styled:boolean>"
-FACTS = f"repo_id string, file string, abs_path string, code string, message string, bindings array<struct<local:string,source:string,imported:string,is_namespace:boolean>>, elements array<struct<tag:string,base:string,line:int,col:int,ord:int>>, profiles array<{_PROFILE}>, named array<struct<source:string,local:string,exported:string,ord:int>>, stars array<struct<source:string,exported:string,ord:int>>, references array<string>, facts string"
-
 
 @dataclass
 class Scan:
@@ -49,109 +41,49 @@ class Scan:
     ds_version: str = "unknown"
 
 
-def _row(repo: str, file: str, path: str | None, snippet_lines: int, read: Callable[[], str]) -> dict[str, Any]:
-    row: dict[str, Any] = {"repo_id": repo, "file": file, "abs_path": path, "code": None, "message": None, "facts": None} | {k: [] for k in ("bindings", "elements", "profiles", "named", "stars", "references")}
-    try:
-        source = read()
-    except OSError as e:
-        return row | {"code": "file-read-failed", "message": str(e)[:200]}
-    try:
-        x = Facts(source, file.endswith(("tsx", "jsx")), snippet_lines)
-    except (SyntaxError, RecursionError) as e:
-        return row | {"code": "parse-failed", "message": str(e)[:200]}
-    own = {"constants": x.constants, "bindings": x.bindings, "named": x.named, "stars": x.stars, "own": x.own, "local_exports": x.local_exports, "sites": x.sites}
-    return row | {"bindings": [{"local": k, "source": s, "imported": i, "is_namespace": n} for k, (s, i, n) in x.bindings.items()], "elements": x.elements, "profiles": x.profiles, "named": x.named, "stars": x.stars, "references": sorted(set(x.references)), "facts": json.dumps(own)}
-
-
-_COLUMNS = ["repo_id", "file", "abs_path", "code", "message", "bindings", "elements", "profiles", "named", "stars", "references", "facts"]
-
-
-def _text(path: str) -> str:
-    with open(path, encoding="utf-8", errors="replace") as f:
-        return f.read()
-
-
-def read_facts(files: DataFrame, snippet_lines: int) -> DataFrame:
-    """One row for each file (repo_id, file, abs_path): its facts, or a warning's code and message."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            yield pd.DataFrame([_row(r, f, p, snippet_lines, lambda p=p: _text(p)) for r, f, p in zip(part["repo_id"], part["file"], part["abs_path"])], columns=_COLUMNS)
-
-    return files.mapInPandas(run, FACTS)
-
-
-def facts_of(sources: DataFrame, snippet_lines: int = 50) -> DataFrame:
-    """The same of sources that are a column already: repo_id, file, source."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            yield pd.DataFrame([_row(r, f, None, snippet_lines, lambda s=s: s) for r, f, s in zip(part["repo_id"], part["file"], part["source"])], columns=_COLUMNS)
-
-    return sources.select("repo_id", "file", "source").mapInPandas(run, FACTS)
-
-
-def resolve_modules(facts: DataFrame, listing: DataFrame) -> DataFrame:
-    """(repo_id, file, source, kind, target) of each distinct specifier of each file. ``listing``: repo_id, path, tsconfig (text, on one row)."""
-    source = F.explode(F.array_distinct(F.concat(F.transform("bindings", lambda b: b["source"]), F.col("references"))))
-    specs = facts.select("repo_id", "file", source.alias("source")).distinct()
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        config = next((x for x in right["tsconfig"] if x), None)
-        r = Resolver(set(right["path"]), *compiler_options(config))
-        found = [r.resolve(s, f) for f, s in zip(left["file"], left["source"])]
-        return left.assign(kind=[k for k, _ in found], target=[t for _, t in found])[["repo_id", "file", "source", "kind", "target"]]
-
-    return specs.groupBy("repo_id").cogroup(listing.groupBy("repo_id")).applyInPandas(run, "repo_id string, file string, source string, kind string, target string")
+def resolve_modules(facts: DataFrame, listing: DataFrame, configs: DataFrame) -> DataFrame:
+    """(repo_id, file, source, kind, target) of each specifier. ``listing``: repo_id, path; ``configs``: repo_id, folder, tsconfig."""
+    return modules.resolve(specifiers(facts), listing, configs)
 
 
 def route_entries(facts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(repo_id, path, page, symbol, warning, site, ord): entries in order of discovery; rows of kind ``site`` have no path."""
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        files = {f: json.loads(x) for f, x in sorted(zip(left["file"], left["facts"])) if x}
-        known = {(f, s): (k, t) for f, s, k, t in zip(right["file"], right["source"], right["kind"], right["target"])}
-        entries, sites = RepoRoutes(files, known).entries()
-        rows = [{"repo_id": key[0], **e} for e in entries] + [{"repo_id": key[0], "path": None, "page": None, "symbol": None, "warning": None, "site": s, "ord": -1} for s in sites]
-        return pd.DataFrame(rows, columns=["repo_id", "path", "page", "symbol", "warning", "site", "ord"])
-
-    return facts.groupBy("repo_id").cogroup(resolved.groupBy("repo_id")).applyInPandas(run, "repo_id string, path string, page string, symbol string, warning string, site string, ord int")
+    """(repo_id, path, page, symbol, warning, site, ord): the route entries that the files' arrays make."""
+    each = lambda x: facts.select("repo_id", "file", F.explode(x).alias("x")).select("repo_id", "file", "x.*")
+    inside = checkpoint(resolved.where("kind = 'in-repo'").select("repo_id", "file", "source", "target"))
+    linked = lambda df: df.join(inside, ["repo_id", "file", "source"], "left")
+    own = facts.select("repo_id", "file", F.explode("own").alias("symbol"))
+    stars = linked(each("stars").where("exported IS NULL"))
+    return routes.entries(each("routes"), each("constants"), linked(each("bindings")), each("local_exports"), linked(each("named")), stars, own, facts.select("repo_id", "file"), resolved)
 
 
 def scan(spark: SparkSession, c: C.Config, repos: list[C.Repo]) -> Scan:
-    registry = Registry(c.ds_root)
-    packages = set(registry.packages)
-    libraries, symbols, lib_symbols = [], {}, []
+    known = prescan.registry(spark, c.ds_root)
+    ds, reexports = known.packages, known.reexports
+    libraries, places = [], {}
     for repo in repos:
+        own = {x.lib_id for x in repo.libraries}
         for k, lib in enumerate(C.effective_libraries(c.libraries, repo.libraries)):
             prefix = os.path.relpath(lib.path, repo.root).replace(os.sep, "/").lower()
             libraries.append((repo.repo_id, lib.lib_id, X.glob_to_regex(lib.pattern), "\0" if prefix.startswith("..") else prefix.rstrip("/") + "/", lib.kind, k))
-            if (key := (lib.lib_id, lib.path)) not in symbols:
-                symbols[key] = library_symbols(lib, packages)
-            lib_symbols += [(repo.repo_id, lib.lib_id, s, b) for s, b in symbols[key].items()]
-
-    paths, listed = [], []
-    for repo in repos:
-        every = C.listing(repo.root)
-        config = os.path.join(repo.root, repo.tsconfig)
-        try:
-            with open(config, encoding="utf-8") as f:
-                text = f.read()
-        except OSError:
-            text = None
-        listed += [(repo.repo_id, p, text if k == 0 else None) for k, p in enumerate(every)] or [(repo.repo_id, "", text)]
-        paths += [(repo.repo_id, p, os.path.join(repo.root, p)) for p in C.discovered(repo, every)]
-    files = spark.createDataFrame(paths, "repo_id string, file string, abs_path string")
-    listing = spark.createDataFrame(listed, "repo_id string, path string, tsconfig string")
-    ds = spark.createDataFrame([(p,) for p in sorted(packages)], "package string")
-    reexports = spark.createDataFrame([(p, s, a, b, h) for p, t in registry.reexports.items() for s, (a, b, h) in t.items()], "pkg string, symbol string, source_pkg string, source_symbol string, hops int")
+            places[repo.repo_id, lib.lib_id] = prescan.place(lib, repo.root, repo.tsconfig) if lib.lib_id in own else prescan.place(lib, c.base, "tsconfig.json")
+
+    # the files: once their names, once the contents of those to be parsed
+    trees = [{"tree": r.repo_id, "root": r.root, "include": [X.glob_to_regex(g) for g in r.include], "exclude": [X.glob_to_regex(g, True) for g in (*C.EXCLUDE, *r.exclude)]} for r in repos]
+    listing = files.read(spark, trees, content=False).where("path IS NOT NULL").select(F.col("tree").alias("repo_id"), "path")
+    configs = files.read(spark, [{"tree": r.repo_id, "root": r.root, "only": [r.tsconfig]} for r in repos])
+    configs = configs.select(F.col("tree").alias("repo_id"), X.dirname(F.col("path")).alias("folder"), F.col("content").alias("tsconfig"))
+    sources = files.read(spark, trees).where("content IS NOT NULL OR message IS NOT NULL").select(F.col("tree").alias("repo_id"), F.col("path").alias("file"), "abs_path", F.col("content").alias("source"), "message")
     libs = spark.createDataFrame(libraries, "repo_id string, lib_id string, pattern string, prefix string, kind string, ord int")
-    backing = spark.createDataFrame(lib_symbols, "repo_id string, lib_id string, symbol string, backed boolean")
-
-    partitions = max(1, min(len(paths), int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
-    every = checkpoint(read_facts(files.repartition(partitions), c.snippet_lines))
+    of = spark.createDataFrame([(r, k, p.key) for (r, k), p in places.items()], "repo_id string, lib_id string, key string")
+    backed, failed = prescan.backing(spark, list(places.values()), ds)
+    backing = of.join(backed, "key").select("repo_id", "lib_id", "symbol", "backed")
+    failed = of.join(failed, "key").select("repo_id", "lib_id")
+
+    # folders hold different numbers of files; parsing is dealt evenly
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    every = checkpoint(facts_of(sources.repartition(partitions, "repo_id", "file"), c.snippet_lines))
     facts = every.where("code IS NULL")
-    resolved = checkpoint(resolve_modules(facts, listing))
+    resolved = checkpoint(resolve_modules(facts, listing, configs))
 
     # imports with what they resolve to
     imports = facts.select("repo_id", "file", F.explode("bindings").alias("b")).select("repo_id", "file", "b.*")
@@ -214,10 +146,9 @@ def scan(spark: SparkSession, c: C.Config, repos: list[C.Repo]) -> Scan:
     # routes
     off = [r.repo_id for r in repos if not (c.routes if r.routes is None else r.routes)]
     routed = facts if not off else facts.where(~F.col("repo_id").isin(off))
-    found = checkpoint(route_entries(routed.select("repo_id", "file", "facts"), resolved))
-    entries = found.where("path IS NOT NULL").withColumn("page", F.lower("page"))
+    entries = checkpoint(route_entries(routed, resolved)).withColumn("page", F.lower("page"))
     edges = routes.import_edges(resolved)
-    bound_files = routes.route_files(entries, edges, found.where("path IS NULL").select("repo_id", F.lower("site").alias("file")), c.depth)
+    bound_files = routes.route_files(entries, edges, routed.where("sites > 0").select("repo_id", F.lower("file").alias("file")), c.depth)
     file_routes = routes.bind_files(routed.select("repo_id", F.lower("file").alias("file")), bound_files)
     file_routes = checkpoint(routed.select("repo_id", "file", F.lower("file").alias("k")).join(file_routes.withColumnRenamed("file", "k"), ["repo_id", "k"]).select("repo_id", "file", "route"))
 
@@ -226,7 +157,9 @@ def scan(spark: SparkSession, c: C.Config, repos: list[C.Repo]) -> Scan:
     shadow = checkpoint(routes.mark_multi_route(shadow, file_routes).select(*columns))
     warned = every.where("code IS NOT NULL").select("repo_id", F.col("file").alias("file_path"), "abs_path", "code", "message")
     of_routes = routes.warning_rows(entries).select("repo_id", F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("string").alias("abs_path"), "code", "message").distinct()
-    warnings = checkpoint(warned.unionByName(of_routes).select(*[f.name for f in WARNING]))
+    none_of = F.lit(None).cast("string")
+    of_libraries = failed.select("repo_id", none_of.alias("file_path"), none_of.alias("abs_path"), F.lit("local-lib-prescan-failed").alias("code"), F.concat(F.lit('Local library "'), "lib_id", F.lit('" prescan failed; components fall back to config.kind')).alias("message"))
+    warnings = checkpoint(warned.unionByName(of_routes).unionByName(of_libraries).select(*[f.name for f in WARNING]))
     unresolved = records.empty(spark)["unresolved"]
     return Scan(usage, shadow, unresolved, warnings, facts.count(), len(repos), C.describe(c.ds_root))
 

@@ -18,7 +18,6 @@ EXCLUDE = (
     "**/node_modules/**", "**/dist/**", "**/build/**", "**/.next/**", "**/*.test.*", "**/*.spec.*", "**/*.stories.*",
     "**/__mocks__/**", "**/__fixtures__/**", "**/mocks/**", "**/*.mock.*", "**/*.fixture.*",
 )
-PRUNED = frozenset(("node_modules", "dist", "build", ".next", ".git"))
 
 
 class ConfigError(ValueError):
@@ -62,6 +61,8 @@ class Config:
     most: int = 12
     primitives: list[str] = field(default_factory=lambda: list(PRIMITIVES))
     libraries: list[Library] = field(default_factory=list)
+    #: The folder of the configuration file.
+    base: str = "."
 
 
 def _json(path: str) -> Any:
@@ -111,6 +112,7 @@ def load_config(path: str) -> Config:
         int(_between(rec.get("maxRecommendations", d.most), 0, 1e9, "maxRecommendations")),
         list(raw.get("primitiveNames") or d.primitives),
         _libraries(raw.get("sharedLibraries") or [], base),
+        base,
     )
 
 
@@ -142,23 +144,6 @@ def effective_libraries(shared: list[Library], own: list[Library]) -> list[Libra
     return own + [x for x in shared if x.lib_id not in ids]
 
 
-def listing(root: str) -> list[str]:
-    """All files of a repo, without the pruned folders, sorted."""
-    out = []
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in PRUNED)
-        rel = os.path.relpath(folder, root).replace(os.sep, "/")
-        out += [n if rel == "." else f"{rel}/{n}" for n in names]
-    return sorted(out)
-
-
-def discovered(repo: Repo, files: list[str]) -> list[str]:
-    """The files to scan: excludes also meet dotfiles, includes don't."""
-    yes = [re.compile(glob_to_regex(g)) for g in repo.include]
-    no = [re.compile(glob_to_regex(g, True)) for g in (*EXCLUDE, *repo.exclude)]
-    return [f for f in files if not any(p.search(f) for p in no) and any(p.search(f) for p in yes)]
-
-
 # --- git, on the driver
 
 

@@ -1,4 +1,4 @@
-"""Module resolution against a repo's file listing, as TypeScript's node lookup does it."""
+"""Brute force for tests: module resolution and walks over exports, one repo and one name at a time."""
 
 from __future__ import annotations
 
@@ -73,3 +73,18 @@ class Resolver:
             break
         found = self.file(posixpath.join(self.base, source))
         return ("in-repo", found) if found else ("external", package_of(source))
+
+
+def defining_file(file, symbol, named, stars, own, depth=3, hops=0, seen=()):
+    """``named``: file -> [(ord, exported, local, target)]; ``stars``: file -> [(ord, target)]; ``own``: {(file, symbol)}."""
+    if hops > depth or (file, symbol) in seen:
+        return file, symbol
+    statements = [(o, t, loc) for o, e, loc, t in named.get(file, ()) if e == symbol] + [(o, t, None) for o, t in stars.get(file, ())]
+    for _, target, local in sorted(statements, key=lambda x: x[0]):
+        if local is not None:
+            return defining_file(target, local, named, stars, own, depth, hops + 1, (*seen, (file, symbol))) if target else (file, symbol)
+        if target:
+            found = defining_file(target, symbol, named, stars, own, depth, hops + 1, (*seen, (file, symbol)))
+            if found[0] != target or (target, symbol) in own:
+                return found
+    return file, symbol

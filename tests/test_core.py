@@ -10,7 +10,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kitmeter.extract.facts import Facts
-from kitmeter.extract.resolve import Resolver, compiler_options, package_of
 from kitmeter.extract.tree import parse
 from kitmeter.functions import expressions as X
 from kitmeter.operators import closures, invariants, metrics, recommend, rules, tables
@@ -61,18 +60,6 @@ def test_globs(glob, yes, no, dot):
     assert all(p.search(x) for x in yes) and not any(p.search(x) for x in no)
 
 
-def test_resolver():
-    files = {"src/a.ts", "src/b/index.tsx", "src/c.d.ts", "src/d.js", "lib/e.ts"}
-    base, paths = compiler_options('{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"], "@/b/*": ["lib/*"], "exact": ["lib/e"],}}} // end')
-    r = Resolver(files, base, paths)
-    assert r.resolve("./a", "src/x.ts") == ("in-repo", "src/a.ts") and r.resolve("./b", "src/x.ts") == ("in-repo", "src/b/index.tsx")
-    assert r.resolve("./a.js", "src/x.ts") == ("in-repo", "src/a.ts") and r.resolve("./no", "src/x.ts") == ("unresolved", None)
-    assert r.resolve("@/a", "x.ts") == ("in-repo", "src/a.ts") and r.resolve("@/b/e", "x.ts") == ("in-repo", "lib/e.ts") and r.resolve("exact", "x.ts") == ("in-repo", "lib/e.ts")
-    assert r.resolve("src/d", "x.ts") == ("in-repo", "src/d.js") and r.resolve("@s/p/x", "x.ts") == ("external", "@s/p") and r.resolve("../../out", "src/x.ts") == ("unresolved", None)
-    assert [package_of(x) for x in ("@s/p/x", "p/x", "p", "@s")] == ["@s/p", "p", "p", "@s"]
-    assert compiler_options("{ broken") == (".", {})
-
-
 @pytest.mark.parametrize("source", ["const x = <<<<", "const a = (1;", "<div>", "const s = 'open", "`open", "<a></b>", "}"])
 def test_parse_failures(source):
     with pytest.raises(SyntaxError):
