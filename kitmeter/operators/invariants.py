@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BUCKETS, ROUTE_KINDS, SOURCES
@@ -52,8 +52,33 @@ def violations(usage: DataFrame, shadow: DataFrame, coverage: DataFrame, per_rou
     return reduce(DataFrame.unionByName, parts).where("count > 0")
 
 
+#: Limbs of a row's digest, of 64 bits each.
+LIMBS = 4
+
+
+def _canonical(column: Column, kind: str) -> Column:
+    """A value as text with its length before it, so that no two rows of values read alike; ``~`` for null."""
+    text = F.to_json(F.struct(column.alias("v"))) if kind.startswith(("struct", "array", "map")) else column.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+
+def digest_limbs(df: DataFrame, *by: str) -> DataFrame:
+    """rows, and the limbs of the rows' SHA-256 added up, of the whole table or of each group. Sums of parts are the sums of
+    the whole, so parts can be digested apart, and days added to a digest, by ``merged_digest``."""
+    kinds = dict(df.dtypes)
+    row = F.sha2(F.concat_ws("|", *[F.concat(F.lit(f"{c}="), _canonical(F.col(f"`{c}`"), kinds[c])) for c in sorted(df.columns)]), 256)
+    limb = lambda k: F.conv(F.substr("h", F.lit(16 * k + 1), F.lit(16)), 16, 10).cast("decimal(20,0)")
+    hashed = df.select(*by, row.alias("h")).select(*by, *[limb(k).alias(f"l{k}") for k in range(LIMBS)])
+    return hashed.groupBy(*by).agg(F.count("*").alias("rows"), *[F.sum(f"l{k}").cast("decimal(38,0)").alias(f"l{k}") for k in range(LIMBS)])
+
+
+def merged_digest(parts: DataFrame) -> DataFrame:
+    """rows and digest of all the parts' rows together, whatever parts they are in: each limb modulo 2^64."""
+    total = parts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(f"l{k}"), F.lit(0).cast("decimal(38,0)")).alias(f"l{k}") for k in range(LIMBS)])
+    whole = F.expr("CAST(18446744073709551616 AS DECIMAL(38,0))")
+    return total.select("rows", F.concat_ws("-", *[F.pmod(F.col(f"l{k}").cast("decimal(38,0)"), whole).cast("decimal(20,0)").cast("string") for k in range(LIMBS)]).alias("digest"))
+
+
 def content_hash(df: DataFrame) -> DataFrame:
-    """One value for a bag of rows, whatever their order: equal for equal runs."""
-    columns = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])).alias("j")]
-    hashed = df.select(*columns).select(F.xxhash64("j").alias("h"))
-    return hashed.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"), F.coalesce(F.sum(F.pmod("h", F.lit(1_000_003))), F.lit(0)).alias("s"))
+    """rows and digest of a bag of rows, whatever their order: equal for equal runs."""
+    return merged_digest(digest_limbs(df))

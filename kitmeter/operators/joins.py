@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -37,11 +37,35 @@ def canonical_package(usages: DataFrame, reexports: DataFrame) -> DataFrame:
     return joined.withColumns({"ds_package": F.coalesce("source_pkg", "package"), "canonicalized_via": F.when(F.col("source_pkg").isNotNull(), F.col("package"))}).drop("source_pkg", "imported_symbol")
 
 
+#: The plain beginning of an anchored expression: characters and escaped marks that nothing repeats.
+_LITERAL = r"^\^((?:(?:[A-Za-z0-9_@/ -]|\\[^A-Za-z0-9])(?![?*+{]))*)"
+
+
+def literal_start(pattern: Column) -> Column:
+    """What every match of an anchored expression begins with; '' of one that is not anchored, or that has alternatives outside groups."""
+    open_ = F.regexp_replace(pattern, r"\\.|\[[^\]]*\]", "x").rlike(r"^[^(]*\|")
+    return F.when(open_, "").otherwise(F.regexp_replace(F.regexp_extract(pattern, _LITERAL, 1), r"\\(.)", "$1"))
+
+
 def match_library(imports: DataFrame, libraries: DataFrame) -> DataFrame:
     """(import_id, lib_id, lib_kind) of the first library, in order, whose pattern meets
     the specifier or whose folder holds the resolved file. ``libraries``: repo_id,
-    lib_id, pattern (regex), prefix, kind, ord; they are few for each repo."""
-    joined = imports.join(libraries, "repo_id").where(F.expr("source RLIKE pattern") | F.coalesce(F.col("resolved_file").startswith(F.col("prefix")), F.lit(False)))
+    lib_id, pattern (regex), prefix, kind, ord.
+
+    Both are looked up: a specifier by its own beginnings of the lengths that the repo's patterns' plain beginnings have, and only what
+    has one is compared with the pattern; a file by each folder above it.
+    """
+    libs = libraries.withColumn("literal", literal_start(F.col("pattern")))
+    sizes = libs.groupBy("repo_id").agg(F.array_sort(F.collect_set(F.length("literal"))).alias("sizes"))
+    named = imports.select("import_id", "repo_id", "source", "resolved_file").join(small(sizes), "repo_id")
+    starts = F.transform(F.filter("sizes", lambda n: n <= F.length("source")), lambda n: F.substr("source", F.lit(1), n))
+    found = ["lib_id", "kind", "ord"]
+    by_name = named.select("import_id", "repo_id", "source", F.explode(starts).alias("literal"))
+    by_name = by_name.join(small(libs.select("repo_id", "literal", "pattern", *found)), ["repo_id", "literal"]).where(F.expr("source RLIKE pattern"))
+    parts = F.split("resolved_file", "/")
+    above = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: k > 0), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
+    by_folder = named.where("resolved_file IS NOT NULL").select("import_id", "repo_id", F.explode(above).alias("prefix")).join(small(libs.select("repo_id", "prefix", *found)), ["repo_id", "prefix"])
+    joined = by_name.select("import_id", *found).unionByName(by_folder.select("import_id", *found))
     return first_by(joined, ["import_id"], [F.col("ord")]).select("import_id", "lib_id", F.col("kind").alias("lib_kind"))
 
 

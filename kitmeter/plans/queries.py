@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import closures, counters, invariants, joins, metrics, recommend, routes, rules, tables
+from ..schema import SHADOW, UNRESOLVED, USAGE
 from . import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,9 +210,20 @@ def i6_single_version(spark, d):
     return invariants.single_version(A.usage(spark, d).select(F.concat(F.lit("1."), F.col("line") % 3).alias("schema_version")))
 
 
-@query()
+#: The columns of a usage without its route, in order of names.
+_HASHED = "bucket category classification_source col component_name ds_package file_path l_partkey line p_name p_size repo_id shadow_level".split()
+
+
+def _digest_sql() -> str:
+    text = " || '|' || ".join(f"'{c}=' || coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in _HASHED)
+    limbs = " || '-' || ".join(f"CAST(sum(CAST(CAST('0x' || h[{16 * k + 1}:{16 * k + 16}] AS UBIGINT) AS HUGEINT)) % 18446744073709551616 AS VARCHAR)" for k in range(4))
+    return f"{_U}, z AS (SELECT sha256({text}) AS h FROM u) SELECT count(*) AS rows, {limbs} AS digest FROM z"
+
+
+@query(_digest_sql())
 def i9_content_hash(spark, d):
-    return invariants.content_hash(A.usage(spark, d).drop("route"))
+    """A digest of a bag of rows (I9) that parts add up to: here that of each repo, merged."""
+    return invariants.merged_digest(invariants.digest_limbs(A.usage(spark, d).drop("route"), "repo_id"))
 
 
 # --- recommendations and tables
@@ -423,18 +435,50 @@ def o1_dataset_order(spark, d):
 @query(f"{_U} SELECT repo_id, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines, CAST(sum(col) AS BIGINT) AS columns, count(ds_package) AS packages FROM u GROUP BY 1")
 def s7_jsonl_round_trip(spark, d):
     from ..schema import USAGE
-    from ..session import checkpoint
+    from ..session import shared_folder
     from ..sources import records
 
     u = A.usage(spark, d)
     missing = {f.name: F.lit(None).cast(f.dataType) for f in USAGE if f.name not in u.columns}
-    checkpoint(spark.range(1))  # names the shared folder
-    path = f"{spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()}/jsonl-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "jsonl")
     records.usage_json(u.withColumns(missing)).write.text(path)
     back = records.read_jsonl(spark, path)["usage"]
     return back.groupBy("repo_id").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), F.sum("col").alias("columns"), F.count("ds_package").alias("packages"))
 
 
+_KINDS = f"{_US}, e AS ({A.UNRESOLVED})"
+
+
+@query(f"""{_KINDS} SELECT 'usage' AS kind, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM u UNION ALL SELECT 'shadow-component', count(*), NULL FROM s
+UNION ALL SELECT 'unresolved-dynamic', count(*), NULL FROM e UNION ALL SELECT 'malformed', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region), NULL""")
+def u1_record_kinds(spark, d):
+    """One dataset of all kinds of records (U1), read back as VARIANT; lines that are no records are rows of their own."""
+    from ..sources import records
+
+    cut = F.concat(F.lit('{"kind": "usage", "repoId": "'), "n_name")
+    bad = spark.read.parquet(f"{d}/nation.parquet").select(cut.alias("value")).unionByName(spark.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("value")))
+    parts = [records.usage_json(_whole(A.usage(spark, d), USAGE)), _whole(A.shadow(spark, d), SHADOW).select(records.shadow_value().alias("value")), _whole(A.unresolved(spark, d), UNRESOLVED).select(records.unresolved_value().alias("value")), bad]
+    found = records.variants(reduce(DataFrame.unionByName, parts))
+    return found.groupBy(F.coalesce("kind", F.lit("malformed")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.try_variant_get("record", "$.line", "long")).alias("lines"))
+
+
+def _whole(df, schema):
+    """The columns of a schema, null where the adapter has none."""
+    return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
+@query(f"{_U} SELECT repo_id, count(*) FILTER (bucket = 'adoption') AS adoption, count(*) FILTER (bucket = 'shadow') AS shadow FROM u GROUP BY 1")
+def s8_aggregates_round_trip(spark, d):
+    """Aggregates as one nested document (S8), taken apart again by VARIANT: a row for each element."""
+    from ..sources import records
+
+    u = metrics.per_repo_adoption(A.usage(spark, d)).select(F.col("repo_id").alias("repoId"), "adoption", "shadow")
+    # a document for each of 16 parts of the repos
+    docs = u.groupBy(F.pmod(F.xxhash64("repoId"), F.lit(16)).alias("k")).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("repoId", "adoption", "shadow")).alias("perRepoAdoption")).alias("metrics"))).alias("value"))
+    rows = records.elements(docs.select("value"), "$.metrics.perRepoAdoption", {"repo_id": ("$.repoId", "string"), "adoption": ("$.adoption", "long"), "shadow": ("$.shadow", "long")})
+    return rows.select("repo_id", "adoption", "shadow")
+
+
 from . import relations as _relations  # noqa: E402, F401  registers its queries here
 from . import tracing as _tracing  # noqa: E402, F401
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,23 @@ def build(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSess
     )
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of checkpoints: the session's spark.checkpoint.dir; our own only where that is unset and all runs on one machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "kitmeter-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The name of a new folder that all executors see."""
+    return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in spark.checkpoint.dir; our own folder only where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "kitmeter-checkpoints"))
+    """Cut lineage in the shared folder; survives the loss of executors."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -82,6 +82,22 @@ def _wide(v: Vocabulary) -> T.StructType:
     return T.StructType([T.StructField(k, t) for k, t in kinds.items()])
 
 
+def variants(lines: DataFrame) -> DataFrame:
+    """(kind, repo_id, file_path, record, value) of lines (``value``) of all kinds of records, whatever fields they have: ``record`` is a VARIANT.
+    A line that is no JSON object with a kind has a null kind and keeps its text; blank lines are skipped."""
+    read = lines.where(F.trim("value") != "").select("value", F.try_parse_json("value").alias("record"))
+    field = lambda x: F.try_variant_get("record", f"$.{x}", "string")
+    return read.select(field("kind").alias("kind"), field("repoId").alias("repo_id"), field("filePath").alias("file_path"), "record", "value")
+
+
+def elements(documents: DataFrame, path: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """A row for each element of an array inside JSON documents (``value``), with the fields (path and type) that are asked for, and ``place``, its place there.
+    Documents that are malformed or lack the array give no rows."""
+    arrays = documents.select(F.try_variant_get(F.try_parse_json("value"), path, "array<variant>").alias("items"))
+    each = arrays.select(F.posexplode("items").alias("place", "item"))
+    return each.select("place", *[F.try_variant_get("item", at, kind).alias(name) for name, (at, kind) in fields.items()])
+
+
 def read_jsonl(spark: SparkSession, path: str, v: Vocabulary = Vocabulary()) -> dict[str, DataFrame]:
     """The three kinds of records, by ``usage``, ``shadow`` and ``unresolved``, and all as ``records``. Blank lines are skipped."""
     rows = spark.read.schema(_wide(v)).json(path)

@@ -6,9 +6,16 @@ import html
 import json
 import os
 import shutil
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from .files import opened
 
 
 def write_json(value: Any, path: str) -> None:
@@ -16,11 +23,87 @@ def write_json(value: Any, path: str) -> None:
         json.dump(value, f, indent=2, ensure_ascii=False)
 
 
+class LinesWriter(DataSourceWriter):
+    """Tasks write their partitions of sorted lines side by side; the commit knows the bytes of each and so where it stands in the whole.
+
+    Parts are named by attempt, so a task that ran twice leaves a part that nothing names. ``manifest.json`` lists the parts
+    in order with their offsets; it appears only after all parts have, and a failed write takes its folder away.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator[Row]) -> Part:
+        store, base = opened(self.path)
+        store.create_dir(base, recursive=True)
+        task = TaskContext.get()
+        name, size, lines = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}.jsonl", 0, 0
+        with store.open_output_stream(f"{base}/{name}") as f:
+            for row in rows:
+                line = (row["value"] + "\n").encode()
+                f.write(line)
+                size, lines = size + len(line), lines + 1
+        return Part(task.partitionId(), name, size, lines)
+
+    def commit(self, messages: list[Part | None]) -> None:
+        store, base = opened(self.path)
+        at, parts = 0, []
+        for p in sorted((m for m in messages if m), key=lambda m: m.number):
+            parts.append({"name": p.name, "offset": at, "bytes": p.size, "rows": p.rows})
+            at += p.size
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(f"{base}/manifest.json") as f:
+            f.write(json.dumps({"bytes": at, "rows": sum(p["rows"] for p in parts), "parts": parts}).encode())
+
+    def abort(self, messages: list[Part | None]) -> None:
+        store, base = opened(self.path)
+        store.delete_dir_contents(base, missing_dir_ok=True)
+
+
+@dataclass
+class Part(WriterCommitMessage):
+    number: int
+    name: str
+    size: int
+    rows: int
+
+
+class Lines(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "ordered_lines"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def writer(self, schema: Any, overwrite: bool) -> LinesWriter:
+        return LinesWriter(self.options["path"])
+
+
+def write_ordered(lines: DataFrame, folder: str) -> None:
+    """Sorted rows (``value``) as parts and a manifest; the parts in its order are the sorted file."""
+    lines.sparkSession.dataSource.register(Lines)
+    lines.select("value").write.format("ordered_lines").option("path", folder).mode("append").save()
+
+
+def join_parts(folder: str, path: str) -> None:
+    """The parts of a folder as one file, in order: bytes are copied, rows never leave the tasks."""
+    store, base = opened(folder)
+    with store.open_input_stream(f"{base}/manifest.json") as f:
+        manifest = json.loads(f.readall())
+    with open(path, "wb") as out:
+        for p in manifest["parts"]:
+            with store.open_input_stream(f"{base}/{p['name']}") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+
+
 def write_single_text(lines: DataFrame, path: str) -> None:
-    """Ordered rows streamed through the driver to one file, a partition at a time."""
-    with open(path, "w", encoding="utf-8") as f:
-        for row in lines.toLocalIterator():
-            f.write(row["value"] + "\n")
+    """Sorted rows as one file: parts are written by the tasks, then joined."""
+    folder = f"{os.path.abspath(path)}.parts-{uuid.uuid4().hex}"
+    write_ordered(lines, folder)
+    join_parts(folder, path)
+    store, base = opened(folder)
+    store.delete_dir(base)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

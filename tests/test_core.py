@@ -1,5 +1,6 @@
 """Rules, expressions, closures, recommendations and invariants."""
 
+import json
 import random
 import re
 
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from kitmeter.extract.facts import Facts
 from kitmeter.extract.tree import parse
 from kitmeter.functions import expressions as X
-from kitmeter.operators import closures, invariants, metrics, recommend, rules, tables
+from kitmeter.operators import closures, invariants, joins, metrics, recommend, rules, tables
 from kitmeter.plans import adapters, queries
 from kitmeter.sources import config as C
+from kitmeter.sources import records, sinks
 from kitmeter.streaming import incremental
 
 PROFILE = {"component_name": "Foo", "file_path": "src/Foo.tsx", "jsx_element_count": 1, "has_ds_import": False, "customizes_ds": False, "wraps_ds_with_styled": False, "uses_styled": False, "files_used_in": 0}
@@ -203,12 +205,16 @@ def test_queries_against_sql(spark, sf_dir, name):
 
 
 def test_queries_without_sql(spark, sf_dir):
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"i9_content_hash", "o6_recommendations"}
+    assert set(queries.queries()) - set(queries.oracle_sql()) == {"o6_recommendations"}
     # one value for the same rows in any order, another for other rows
     u = adapters.usage(spark, sf_dir).drop("route")
     same, other = u.repartition(7).sort("line"), u.withColumn("line", F.col("line") + 1)
     a, b, c = (tuple(invariants.content_hash(x).first()) for x in (u, same, other))
     assert a == b == tuple(queries.queries()["i9_content_hash"](spark, sf_dir).first()) and a != c
+    # parts add up: the rows of each day, digested apart
+    parts = invariants.digest_limbs(u.where("line % 2 = 0")).unionByName(invariants.digest_limbs(u.where("line % 2 = 1")))
+    assert tuple(invariants.merged_digest(parts).first()) == a
+    assert tuple(invariants.content_hash(u.limit(0)).first()) == (0, "0-0-0-0")
     got = queries.queries()["o6_recommendations"](spark, sf_dir).orderBy("position").collect()
     ranks = [("high", "medium", "low").index(r["priority"]) for r in got]
     assert [r["position"] for r in got] == list(range(1, len(got) + 1)) and ranks == sorted(ranks) and 0 < len(got) <= 12
@@ -250,3 +256,33 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1 and set(e.oracle_sql()) <= set(e.queries())
     random.seed(0)
+
+
+def test_literal_starts(spark):
+    want = {"^@team/kit$": "@team/kit", r"^a\\.b[0-9]$": "a.b", "^ab?c$": "a", "^(?:a|b)c$": "", "^a|b$": "", "kit": "", "^src/(?:[^/]+/)*x$": "src/", r"^a\\+b$": "a+b"}
+    df = spark.createDataFrame([(k.replace("\\\\", "\\"),) for k in want], "p string")
+    assert [r[0] for r in df.select(joins.literal_start(F.col("p"))).collect()] == list(want.values())
+
+
+def test_ordered_lines(spark, tmp_path):
+    df = spark.range(5000).select(F.concat(F.lit("é "), F.lpad(F.col("id") * 7 % 5000, 5, "0")).alias("value"))
+    ordered = df.orderBy("value")
+    sinks.write_single_text(ordered, str(tmp_path / "all.jsonl"))
+    text = (tmp_path / "all.jsonl").read_text(encoding="utf-8")
+    assert text == "".join(f"é {k:05d}\n" for k in range(5000))
+    sinks.write_ordered(ordered.repartition(3), str(tmp_path / "parts"))
+    manifest = json.loads((tmp_path / "parts/manifest.json").read_text())
+    assert manifest["rows"] == 5000 and [p["offset"] for p in manifest["parts"]] == [0, *(sum(q["bytes"] for q in manifest["parts"][:k]) for k in range(1, len(manifest["parts"])))]
+    with pytest.raises(Exception):
+        sinks.write_ordered(df.select(F.when(F.col("value") > "é 04990", F.raise_error(F.lit("no"))).otherwise(F.col("value")).alias("value")), str(tmp_path / "failed"))
+    assert not (tmp_path / "failed/manifest.json").exists()
+    sinks.write_single_text(df.limit(0), str(tmp_path / "none.jsonl"))
+    assert (tmp_path / "none.jsonl").read_text() == ""
+
+
+def test_variants(spark):
+    df = spark.createDataFrame([(x,) for x in ('{"kind": "usage", "repoId": "r", "line": 3}', "{broken", "", "  ", "[1]", '{"kind": "unresolved-dynamic"}')], "value string")
+    got = [(r["kind"], r["repo_id"], r["value"][:4]) for r in records.variants(df).collect()]
+    assert got == [("usage", "r", '{"ki'), (None, None, "{bro"), (None, None, "[1]"), ("unresolved-dynamic", None, '{"ki')]
+    docs = spark.createDataFrame([('{"a": {"b": [{"x": 1}, {"x": "2"}, {}]}}',), ('{"a": 1}',), ("no",)], "value string")
+    assert [tuple(r) for r in records.elements(docs, "$.a.b", {"x": ("$.x", "long")}).collect()] == [(0, 1), (1, 2), (2, None)]
