@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -75,10 +75,15 @@ def blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    # places in the stack: of each tag, and of all blocks; foreign elements are counted
+    open_at: dict[str, list[int]] = {}
+    block_at: list[int] = []
     pieces: list[str] = []
-    linked = anchors = 0
-    at = 0
-    skip_to = ""
+    linked = anchors = foreigners = 0
+
+    def last(tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these, 0 if there is none."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -86,24 +91,25 @@ def blocks(page: str) -> list[Block]:
             # a character reference does not reach over a tag
             text = " ".join("".join(map(html.unescape, pieces)).split())
             if text:
-                tag = next((t for t, _ in reversed(stack) if t in _BLOCK), "")
+                tag = stack[block_at[-1]][0] if block_at else ""
                 out.append(Block(text, tag, stack[-1][1], linked))
             pieces = []
         linked = 0
 
     def drop(k: int) -> None:
-        nonlocal anchors
-        for t, _ in stack[k:]:
+        nonlocal anchors, foreigners
+        while len(stack) > k:
+            t, _ = stack.pop()
+            open_at[t].pop()
             anchors -= t == "a"
-        del stack[k:]
+            foreigners -= t in _FOREIGN
+            if t in _BLOCK:
+                block_at.pop()
 
     def end_open(closing: tuple[frozenset[str], frozenset[str]]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in closing[0]:
-                drop(k)
-                return
-            if stack[k][0] in closing[1]:
-                return
+        k = last(closing[0])
+        if k > last(closing[1]):
+            drop(k)
 
     pos, size = 0, len(page)
     while pos < size:
@@ -122,15 +128,14 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    drop(k)
-                    break
+            k = last((tag,))
+            if k:
+                drop(k)
             continue
         if tag == "br":
             pieces.append(" ")
             continue
-        foreign = any(t in _FOREIGN for t, _ in stack) or tag in _FOREIGN
+        foreign = foreigners > 0 or tag in _FOREIGN
         closed = foreign and m[3].endswith("/")  # elsewhere the slash has no meaning
         if tag in _RAW:
             if not closed:
@@ -158,8 +163,12 @@ def blocks(page: str) -> list[Block]:
                         own.add("name:hidden")
                 elif name in _NAMED:
                     own.update(f"name:{p}" for p in _PART.findall(value) if p in _LEXICON)
-        stack.append((tag, above | own if own else above))
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK:
+            block_at.append(len(stack))
+        stack.append((tag, above if own <= above else above | own))
         anchors += tag == "a"
+        foreigners += tag in _FOREIGN
     flush()
     return out
 
@@ -201,6 +210,27 @@ class Model(NamedTuple):
     transitions: np.ndarray
 
 
+def expectations(unary: np.ndarray, mask: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By forward and backward sums: the probability of label 1 of each block, and the expected number of each transition, of chains (masked where they
+    have ended) with these scores of labels and transitions."""
+    n, t, _ = unary.shape
+    pair = mask[:, 1:] & mask[:, :-1]
+    forward, backward = np.zeros((n, t, 2)), np.zeros((n, t, 2))
+    forward[:, 0] = unary[:, 0]
+    for k in range(1, t):
+        s = np.logaddexp(forward[:, k - 1, 0, None] + a[0], forward[:, k - 1, 1, None] + a[1]) + unary[:, k]
+        forward[:, k] = np.where(mask[:, k, None], s, forward[:, k - 1])
+    for k in range(t - 2, -1, -1):
+        nxt = unary[:, k + 1] + backward[:, k + 1]
+        s = np.logaddexp(a[:, 0] + nxt[:, 0, None], a[:, 1] + nxt[:, 1, None])
+        backward[:, k] = np.where(mask[:, k + 1, None], s, 0)
+    z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+    p = np.exp(forward[:, :, 1] + backward[:, :, 1] - z[:, None])
+    both = forward[:, :-1, :, None] + a + (unary + backward)[:, 1:, None, :] - z[:, None, None, None]
+    expected = np.exp(both)[pair].sum(axis=0)
+    return p, expected
+
+
 def train(labelled: list[tuple[str, list[bool]]], epochs: int = EPOCHS) -> Model:
     """Fit to pages with a label for each block; pages are padded into one batch."""
     index: dict[str, int] = {}
@@ -229,19 +259,7 @@ def train(labelled: list[tuple[str, list[bool]]], epochs: int = EPOCHS) -> Model
     for step in range(1, epochs + 1):
         unary = np.zeros((n, t, 2))
         unary[:, :, 1] = np.bincount(row, w[column], minlength=n * t).reshape(n, t)
-        forward, backward = np.zeros((n, t, 2)), np.zeros((n, t, 2))
-        forward[:, 0] = unary[:, 0]
-        for k in range(1, t):
-            s = np.logaddexp(forward[:, k - 1, 0, None] + a[0], forward[:, k - 1, 1, None] + a[1]) + unary[:, k]
-            forward[:, k] = np.where(mask[:, k, None], s, forward[:, k - 1])
-        for k in range(t - 2, -1, -1):
-            nxt = unary[:, k + 1] + backward[:, k + 1]
-            s = np.logaddexp(a[:, 0] + nxt[:, 0, None], a[:, 1] + nxt[:, 1, None])
-            backward[:, k] = np.where(mask[:, k + 1, None], s, 0)
-        z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        p = np.exp(forward[:, :, 1] + backward[:, :, 1] - z[:, None])
-        both = forward[:, :-1, :, None] + a + (unary + backward)[:, 1:, None, :] - z[:, None, None, None]
-        expected = np.exp(both)[pair].sum(axis=0)
+        p, expected = expectations(unary, mask, a)
         error = np.where(mask, y - p, 0).ravel()
         grads = (np.bincount(column, error[row], minlength=len(w)) / n - PENALTY * w, (seen - expected) / n - PENALTY * a)
         for k, (value, g) in enumerate(zip((w, a), grads)):
