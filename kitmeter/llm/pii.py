@@ -1,6 +1,7 @@
 """PII: base patterns, and information-theoretic sanitisation of revealing terms.
 
-Base entities (e-mail, IP, card, phone) are found by their form. The method
+Base entities (e-mail, IP, card, phone) are found by their form. Protected are each value and its class (of an
+e-mail its domain, else any of its kind), as most values occur once, and what points at any card does so at each. The method
 then asks the corpus how strongly other terms reveal an entity: for entity c and
 term t in its context (CONTEXT words on either side) it counts the documents
 with c, with t anywhere, and with t in the context of c. With N documents,
@@ -8,7 +9,7 @@ with c, with t anywhere, and with t in the context of c. With N documents,
     PMI(c; t) = log2(N n(c,t) / (n(c) n(t))),   IC(c) = log2(N / n(c)),
 
 and the disclosure PMI / IC is 1 for a term that occurs nowhere but beside c.
-From REMOVE on a term is removed, from GENERALISE on it is generalised; either
+From REMOVE on a term is removed, from GENERALISE on it is replaced by what it is (``general``: a number, a code, a name, a word); either
 adds a span of kind ``term`` wherever the term occurs in any document, with the
 highest disclosure of its pairs. A pair needs SUPPORT documents, so what occurs
 once reveals nothing. (Sanchez and Batet's C-sanitisation, with protected entities
@@ -43,7 +44,8 @@ from . import common
 
 CONTEXT = 8
 SUPPORT = 3
-GENERALISE = 0.7
+#: Half of what it takes to tell the entity.
+GENERALISE = 0.5
 REMOVE = 0.9
 BLOCK = 200_000
 #: Words whose sums a task holds.
@@ -111,6 +113,11 @@ def entity(text: str, kind: int) -> int:
     return _key(f"{kind}:{text.translate(_FOLD) if kind < 2 else re.sub('[^0-9]', '', text)}")
 
 
+def classes(text: str, kind: int) -> int:
+    """One number for the class that an entity belongs to, which is protected too: of an e-mail its domain, else its kind."""
+    return _key(f"class:{kind}:{text.rpartition('@')[2].translate(_FOLD) if kind == 0 else ''}")
+
+
 def outside(words: list[tuple], spans: list[tuple[int, int, int]]) -> list[tuple]:
     """The words, (start, end, ...) in order, that touch no span."""
     if not spans:
@@ -130,7 +137,11 @@ def outside(words: list[tuple], spans: list[tuple[int, int, int]]) -> list[tuple
     return out
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+#: What is protected of a span: its value, and its class.
+PROTECTED = (entity, classes)
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]], protected: tuple = (entity,)) -> list[tuple[int, int, int, int]]:
     """(entity, term hash, start, end) of the CONTEXT nearest words on either side of each entity,
     however far; words in base spans are none."""
     if not spans:
@@ -139,9 +150,9 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     begins = [a for a, _ in words]
     out = []
     for start, kind, end in spans:
-        c = entity(text[start:end], kind)
         at = bisect.bisect_left(begins, start)
-        out += [(c, w) for w in range(max(0, at - CONTEXT), min(at + CONTEXT, len(words)))]
+        near = range(max(0, at - CONTEXT), min(at + CONTEXT, len(words)))
+        out += [(c, w) for c in [of(text[start:end], kind) for of in protected] for w in near]
     # each word is hashed once, however many entities stand beside it
     used = sorted({w for _, w in out if not text[slice(*words[w])].isdecimal()})
     if not used:
@@ -172,8 +183,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own[k] += 1
                 counts.append(own)
                 base.append([f"{KINDS[k]}:{s}:{e}" for s, k, e in spans])
-                own = {entity(text[s:e], k) for s, k, e in spans}
-                pairs.append([{"c": c, "t": None} for c in own] + [{"c": c, "t": t} for c, t in {x[:2] for x in contexts(text, spans)}] if spans else [])
+                own = {of(text[s:e], k) for s, k, e in spans for of in PROTECTED}
+                pairs.append([{"c": c, "t": None} for c in own] + [{"c": c, "t": t} for c, t in {x[:2] for x in contexts(text, spans, PROTECTED)}] if spans else [])
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.list_(pa.int64())), pa.array(base, pa.list_(pa.string())), pa.array(pairs, pa.list_(pair))], names=["doc_id", "key", "counts", "base", "pairs"])
 
 
@@ -305,10 +316,17 @@ def scan(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", *[F.get("counts", k).alias(f"n_{x}") for k, x in enumerate(KINDS)], F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), spans.alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
+def general(term: str) -> str:
+    """What a term is, for a reader: digits, digits among letters, a capital first, or none of these."""
+    if term.isdigit():
+        return "[NUMBER]"
+    return "[CODE]" if _DIGIT.search(term) else "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
 def replaced(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, float]]) -> str:
-    """Entities as their marks; terms generalised to [TERM] or removed."""
+    """Entities as their marks; terms generalised or removed."""
     cuts = [(s, e, MARKS[KINDS[k]]) for s, k, e in base]
-    cuts += [(s, e, "" if d >= REMOVE else "[TERM]") for s, e, d in terms]
+    cuts += [(s, e, "" if d >= REMOVE else general(text[s:e])) for s, e, d in terms]
     out, free = [], 0
     for s, e, mark in sorted(cuts):
         if s >= free:

@@ -944,7 +944,7 @@ def test_pii_base(spark, empty):
 def brute_terms(data):
     """The disclosing pairs by definition."""
     n = len(data)
-    with_c, with_t, both, at = {}, {}, {}, {}
+    with_c, with_t, both = {}, {}, {}
     for k, t in data:
         t = t or ""
         low = {x.lower() for x in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t)}
@@ -952,18 +952,24 @@ def brute_terms(data):
             with_t.setdefault(x, set()).add(k)
         spans = [(s, x, e) for s, x, e in pii.base_spans(t)]
         for s, x, e in spans:
-            with_c.setdefault(pii.entity(t[s:e], x), set()).add(k)
-        for c, _, s, e in pii.contexts(t, spans):
+            for of in pii.PROTECTED:
+                with_c.setdefault(of(t[s:e], x), set()).add(k)
+        for c, _, s, e in pii.contexts(t, spans, pii.PROTECTED):
             w = t[s:e].lower()
             both.setdefault((c, w), set()).add(k)
-            at.setdefault(k, []).append((c, w, s, e))
+    revealing = set()
+    for c, w in both:
+        if len(both[c, w]) >= pii.SUPPORT and len(with_c[c]) < n:
+            d = np.log2(n * len(both[c, w]) / (len(with_c[c]) * len(with_t[w]))) / np.log2(n / len(with_c[c]))
+            if d >= pii.GENERALISE:
+                revealing.add(w)
+    # wherever they occur, outside base spans
     out = {}
-    for k, found in at.items():
-        for c, w, s, e in found:
-            if len(both[c, w]) >= pii.SUPPORT and len(with_c[c]) < n:
-                d = np.log2(n * len(both[c, w]) / (len(with_c[c]) * len(with_t[w]))) / np.log2(n / len(with_c[c]))
-                if d >= pii.GENERALISE:
-                    out.setdefault(k, set()).add((s, e))
+    for k, t in data:
+        spans = pii.base_spans(t or "")
+        for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", t or ""):
+            if m[0].lower() in revealing and not any(s < m.end() and m.start() < e for s, _, e in spans):
+                out.setdefault(k, set()).add(m.span())
     return out
 
 
@@ -986,6 +992,28 @@ def test_pii_terms(spark):
     assert "Zebulon" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and clean[100]["text"] == data[100][1]
 
 
+def test_pii_terms_of_a_class(spark, tmp_path):
+    """A word that stands beside most cards, each of another number, through the registered query."""
+    from kitmeter.llm import queries
+
+    rng = random.Random(12)
+    data = [(k, " ".join(rng.choice(WORDS) for _ in range(20))) for k in range(200)]
+    for k in range(20):
+        digits = f"4{rng.randrange(10**14):014d}"
+        card = next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+        data[k] = (k, data[k][1] + f" Kreditkarte x9z {card}")
+    data[50] = (50, data[50][1] + " kreditkarte")
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = by_id(queries.queries()["op10_pii"](spark, str(tmp_path)))
+    want = brute_terms(data)
+    for k, t in data:
+        got = {tuple(map(int, x.split(":")[1:])) for x in found[k]["spans"].split(",") if x.startswith("term")}
+        assert want.get(k, set()) == got
+        words = {t[a:b].lower() for a, b in got}
+        assert words == ({"kreditkarte", "x9z"} if k < 20 else {"kreditkarte"} if k == 50 else set())
+    assert [pii.general(x) for x in ("123", "x9z", "Name", "word")] == ["[NUMBER]", "[CODE]", "[NAME]", "[WORD]"]
+
+
 def test_pii_terms_far_from_the_entity(spark, monkeypatch):
     rng = random.Random(10)
     far = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
@@ -1033,3 +1061,38 @@ def test_pii_context_words_of_any_length(spark):
     for k in range(5):
         spans = [tuple(map(int, x.split(":")[1:])) for x in found[k]["spans"].split(",") if x.startswith("term")]
         assert [data[k][1][s:e] for s, e in spans] == ["qz", "王明", long]
+
+
+def test_html_of_many_open_tags():
+    """Tags that nothing closes, in the thousands, cost no more than others."""
+    import time
+
+    began = time.time()
+    assert len(htmltext.blocks("<div>x" * 300_000)) == 300_000
+    assert htmltext.blocks("<b>" * 300_000) == [] and len(htmltext.blocks("<svg><g>" * 100_000 + "x")) == 1
+    assert len(htmltext.blocks("<li><ul>" * 100_000 + "</b>" * 100_000 + "<p>x")) == 1
+    assert time.time() - began < 20
+
+
+def test_crf_expectations_by_enumeration():
+    """Marginals and expected transitions over all labellings of short chains of several lengths."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    lengths, t = [1, 2, 5, 4], 5
+    unary = np.zeros((4, t, 2))
+    unary[:, :, 1] = rng.normal(size=(4, t))
+    mask = np.arange(t) < np.array(lengths)[:, None]
+    a = rng.normal(size=(2, 2))
+    p, expected = htmltext.expectations(unary, mask, a)
+    want = np.zeros((2, 2))
+    for i, n in enumerate(lengths):
+        paths = list(itertools.product((0, 1), repeat=n))
+        scores = np.exp([sum(unary[i, k, y] for k, y in enumerate(path)) + sum(a[x, y] for x, y in zip(path, path[1:])) for path in paths])
+        scores /= scores.sum()
+        for k in range(n):
+            assert abs(p[i, k] - sum(s for s, path in zip(scores, paths) if path[k])) < 1e-9
+        for s, path in zip(scores, paths):
+            for x, y in zip(path, path[1:]):
+                want[x, y] += s
+    assert np.allclose(expected, want)
