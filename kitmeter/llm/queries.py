@@ -34,7 +34,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_documents(spark, sf_dir))
+    return sharding.shard(_documents(spark, sf_dir), together=True)
 
 
 def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ index, and the order is cut into runs of equal row counts (law ``rows``: counts
 differ by at most one). Neighbours on the curve are neighbours in every
 dimension, so each shard spans few cells of each and files can be pruned by any.
 
-The total order is (curve index, text checksum, doc_id, ...), so a hot source or
-a large group of equal texts is cut like any other run. The rank of a row is its
+The total order is (curve index, text checksum, text hash, doc_id, ...). So a hot source is cut like any other run. With ``together`` (as the query has it) a row's
+index is the least one of all rows with an equal text, so equal texts lie together and are cut only where a shard is full.
+Least indexes are summed up in SALTS parts for each text before they are joined back, however many rows a text has. The rank of a row is its
 place in a range-partitioned sort plus the rows of all partitions before it. The
 narrow keys are written to the checkpoint folder before the sort, which reads them twice, and
 after it, so a lost executor can't change the order between the reads. No window over all rows is needed, and
@@ -31,6 +32,7 @@ from . import common
 
 SHARDS = 8
 BITS = 5
+SALTS = 64
 ACCURACY = 2000
 
 #: Metadata dimensions of documents: origin, language, size.
@@ -111,17 +113,29 @@ def hilbert(cell: Column, n: int, bits: int = BITS) -> Column:
     return axes, out
 
 
-def ordered(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, key: tuple[str, ...] = ()) -> DataFrame:
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows with the least curve index of all rows of their text."""
+    same = ["__text", "text_crc32", "size"]
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*same, "__salt").agg(F.min("curve").alias("m"), F.count("*").alias("n"))
+    whole = parts.groupBy(*same).agg(F.min("m").alias("__least"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    least = parts.select(*same, "__salt").join(whole, same)
+    return salted.join(least, [*same, "__salt"], "left").withColumn("curve", F.coalesce("__least", "curve")).drop("__least", "__salt")
+
+
+def ordered(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, key: tuple[str, ...] = (), together: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, the dimensions, the columns in ``key``, ``curve`` and ``rank``, the place of the row from 0."""
     own = (*(x for x in dimensions if x != "size"), *key)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = common.text_column(docs, "doc_id", "text", *own)
-    rows = rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *own)
+    rows = rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("__text"), *own)
     rows = cells(rows, dimensions, bits)
     axes, index = hilbert(F.col("__cell"), len(dimensions), bits)
     rows = rows.withColumn("__axes", axes).withColumn("curve", index)
     rows = common.checkpoint(rows.drop("__axes", "__cell"))
-    order = ["curve", "text_crc32", "doc_id", "size", *own]
+    if together:
+        rows = _gathered(rows)
+    order = ["curve", "text_crc32", *["__text"] * together, "doc_id", "size", *own]
     partitions = common.parallelism(docs.sparkSession)
     placed = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     placed = common.checkpoint(placed.withColumn("__at", F.monotonically_increasing_id()))
@@ -134,9 +148,9 @@ def ordered(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int
     return ranked.select("doc_id", "size", "text_crc32", *own, "curve", (F.col("__before") + inside).alias("rank"), F.col("__total").alias("total"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, key: tuple[str, ...] = ()) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, key: tuple[str, ...] = (), together: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve, and the columns in ``key``."""
-    rows = ordered(docs, dimensions, bits, key)
+    rows = ordered(docs, dimensions, bits, key, together)
     base, more = F.floor(F.col("total") / shards).cast("long"), F.col("total") % shards
     wide = more * (base + 1)  # ranks in the first shards, which hold one row more
     r = F.col("rank")

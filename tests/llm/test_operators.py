@@ -1096,3 +1096,21 @@ def test_crf_expectations_by_enumeration():
             for x, y in zip(path, path[1:]):
                 want[x, y] += s
     assert np.allclose(expected, want)
+
+
+def test_sharding_keeps_equal_texts_together(spark):
+    """Copies from several sources, one text in a third of the rows: a group is cut only at the ends of shards."""
+    rng = random.Random(20)
+    data = [(k, "the copied text" if k % 3 == 0 else f"text {rng.randrange(60)}", rng.choice(["en", "de", None]), rng.choice("abcdef")) for k in range(400)] + [(7, None, None, None), (7, "", None, "z"), (None, "", "en", "a")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(5)
+    got = sharding.shard(df, together=True).collect()
+    ranks = {}
+    for r in got:
+        ranks.setdefault((r["text_crc32"], r["size"]), []).append((r["shard"], r["slot"]))
+    sizes = [sum(r["shard"] == k for r in got) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and sorted((r["shard"], r["slot"]) for r in got) == [(k, i) for k in range(8) for i in range(sizes[k])]
+    place = {x: i for i, x in enumerate(sorted((r["shard"], r["slot"]) for r in got))}
+    for own in ranks.values():
+        at = sorted(place[x] for x in own)
+        assert at == list(range(at[0], at[0] + len(at)))
+    assert sum(len({s for s, _ in own}) > 1 for own in ranks.values()) <= 7
