@@ -5,7 +5,7 @@ A document is its set of 64-bit n-gram hashes; two documents link when
 transpose is never formed whole:
 
 1. Copies are one row: documents of equal sets (a 128-bit digest of the set) share a node.
-2. Frequencies: tasks send sorted hash blocks (about three bytes an n-gram), each
+2. Frequencies: tasks send sorted blocks of distinct hashes with their counts (about three bytes a hash), each
    range of hashes is counted by one task, and hashes in more than HEAVY sets
    are kept, at most HEAVY_MOST of them (those of the highest counts), so what
    is broadcast has a fixed bound.
@@ -111,22 +111,28 @@ def prefix_length(n: int, share: int = SHARE) -> int:
     return n - (share * n + 99) // 100 + 1
 
 
+#: A hash head less the one before it, and the sets of a block that hold it.
+_COUNTED = np.dtype([("step", "<u8"), ("n", "<u4")])
+
+
 def _heavy(docs: DataFrame, n: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hash heads (44 bits) of frequent n-grams, and their frequencies."""
 
     def block(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        heads = np.sort(np.concatenate(held) >> _SHIFT)
+        # an n-gram is sent once for a block, with the number of its sets there
+        heads, counts = np.unique(np.concatenate(held) >> _SHIFT, return_counts=True)
         cut = np.searchsorted(heads, [np.uint64((k << 44) // ranges) for k in range(ranges + 1)])
         press = zstandard.ZstdCompressor(level=1)
         keys, blobs = [], []
         for k in range(ranges):
             own = heads[cut[k] : cut[k + 1]]
             if len(own):
-                steps = np.diff(own, prepend=np.uint64(0))
+                rows = np.zeros(len(own), _COUNTED)
+                rows["step"], rows["n"] = np.diff(own, prepend=np.uint64(0)), counts[cut[k] : cut[k + 1]]
                 # byte planes: the high ones are nearly all zero
-                blobs.append(press.compress(np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()))
+                blobs.append(press.compress(np.ascontiguousarray(rows.view(np.uint8).reshape(len(own), -1).T).tobytes()))
                 keys.append(k)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "blob"])
 
@@ -144,15 +150,17 @@ def _heavy(docs: DataFrame, n: int, ranges: int) -> tuple[np.ndarray, np.ndarray
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         open_ = zstandard.ZstdDecompressor()
-        every = []
+        values, counts = [], []
         for b in part["blob"]:
-            planes = np.frombuffer(open_.decompress(b), np.uint8).reshape(6, -1)
-            steps = np.zeros((planes.shape[1], 8), np.uint8)
-            steps[:, :6] = planes.T
-            every.append(np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64))
-        values = np.sort(np.concatenate(every))
+            planes = np.frombuffer(open_.decompress(b), np.uint8).reshape(_COUNTED.itemsize, -1)
+            rows = np.array(planes.T, order="C").reshape(-1).view(_COUNTED)
+            values.append(np.cumsum(rows["step"], dtype=np.uint64))
+            counts.append(rows["n"].astype(np.int64))
+        values, counts = np.concatenate(values), np.concatenate(counts)
+        order = np.argsort(values)
+        values = values[order]
         first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        df = np.diff(np.append(first, len(values)))
+        df = np.add.reduceat(counts[order], first)
         keep = df > HEAVY
         return pd.DataFrame({"h": values[first[keep]].astype(np.int64), "df": df[keep].astype(np.int64)})
 
