@@ -12,12 +12,14 @@ import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 BATCH_ROWS = 1000
@@ -49,6 +51,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bytes of rows that may be sent to all tasks.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table may be broadcast: by its rows and by their bytes, of arrays and all."""
+    n, total = df.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()
+    return n <= rows and (total or 0) <= size
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -131,13 +149,28 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
+_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+@contextmanager
+def kept_settings(spark: SparkSession) -> Iterator[None]:
+    """What is run whole inside leaves the session's Arrow settings as they were. Frames that are run later
+    need the lower ones, so the operators themselves can't put them back."""
+    before = [spark.conf.get(x) for x in _SETTINGS]
+    try:
+        yield
+    finally:
+        for x, value in zip(_SETTINGS, before):
+            spark.conf.set(x, value)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """At most BATCH_ROWS rows, and no more rows beyond CHUNK_BYTES, in an Arrow batch of this session, which is held
     whole on both sides of a Python worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", CHUNK_BYTES)
+    for name, most in zip(_SETTINGS, (BATCH_ROWS, CHUNK_BYTES)):
+        now = spark.conf.get(name)  # with a unit where it is the default
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, most)
 
 
 #: What operators keep in a worker between their tasks, by operator.

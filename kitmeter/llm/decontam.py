@@ -14,7 +14,7 @@ what lies exactly there is an exact phrase match.
 
 The index is partitioned by documents, so postings are never shuffled and no
 term, however frequent, gathers anywhere. Benchmark items are a stated query
-set: they are sent in blocks of at most BLOCK_BYTES of text, each block one pass
+set: they are sent in blocks of about BLOCK_BYTES of text, dealt by item and text, each block one pass
 over the index, whose hits are written before the next one. Candidates are looked at
 in steps of about STEP.
 
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -213,13 +213,13 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     if window + slop >= GAP:
         raise ValueError("a window must be shorter than the gap between documents")
     spark = index.sparkSession
-    items = common.text_column(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = common.text_column(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     near = pa.struct([("item", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())])
     found = None
     for k in range(blocks):
-        block = [(r[0], r[1]) for r in (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).collect()]
+        block = [(r[0], r[1]) for r in (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)).collect()]
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -263,15 +263,15 @@ def write_index(docs: DataFrame, path: str) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def _own_index(docs: DataFrame) -> DataFrame:
-    common.ensure_checkpoint_dir(docs.sparkSession)
-    return write_index(docs, os.path.join(docs.sparkSession.sparkContext.getCheckpointDir(), f"index-{uuid.uuid4().hex}"))
+def _own_path(spark: SparkSession) -> str:
+    common.ensure_checkpoint_dir(spark)
+    return os.path.join(spark.sparkContext.getCheckpointDir(), f"index-{uuid.uuid4().hex}")
 
 
 def _judged(index: DataFrame, hits: DataFrame) -> DataFrame:
     """A row for each document of an index, with its key and what was found in it."""
     documents = index.select("chunk", F.posexplode(F.arrays_zip("doc_ids", "keys", "n_words")).alias("number", "x")).select("chunk", "number", F.col("x.doc_ids").alias("doc_id"), F.col("x.keys").alias("key"), F.col("x.n_words").alias("n_words"))
-    few = hits.count() <= BROADCAST_ROWS
+    few = common.small(hits, BROADCAST_ROWS)
     found = documents.join(F.broadcast(hits) if few else hits, ["chunk", "number"], "left")
     none = F.array().cast("array<string>")
     found = found.withColumns({"items": F.coalesce("items", none), "near": F.coalesce("near", none), "spans": F.coalesce("spans", F.array().cast("array<int>")), "near_spans": F.coalesce("near_spans", F.array().cast("array<struct<item:string,first_word:int,end_word:int>>"))})
@@ -296,7 +296,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """A row for each document with the counts, the items found exactly, the hit words as a
     flat list of merged [start, end) pairs, and the proximity matches. ``index``: what
     ``write_index`` returned for these documents, to ask another benchmark of it."""
-    index = index or _own_index(docs)
+    index = index or write_index(docs, _own_path(docs.sparkSession))
     return _judged(index, search(index, benchmark, window, slop)).drop("key")
 
 
@@ -333,8 +333,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     names = docs.columns
     own = [x if x in ("doc_id", "text") else f"c{k}" for k, x in enumerate(names)]
     df = docs.toDF(*own)
-    index = _own_index(df)
+    path = _own_path(df.sparkSession)
+    index = write_index(df, path)
     judged = _judged(index, search(index, benchmark, window, 0)).where("contaminated")
     bad = common.checkpoint(judged.select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct())
+    common.remove(df.sparkSession, path)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_key"))
     return df.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, same, "left_anti").toDF(*names)

@@ -365,6 +365,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
         known = df.withColumn("terms", F.lit(None).cast("array<struct<s:int,e:int,disclosure:double>>"))
     else:
         placed = common.checkpoint(placed)
-        few = placed.count() <= BROADCAST_ROWS
+        few = common.small(placed, BROADCAST_ROWS)
         known = df.mapInArrow(keyed, StructType([*schema.fields, StructField("key", BinaryType())])).join(F.broadcast(placed) if few else placed, "key", "left")
     return known.select(*own, "terms").mapInArrow(change, schema).toDF(*names)
