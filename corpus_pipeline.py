@@ -2,7 +2,8 @@
 
 Each stage reads what its predecessor wrote. All but the last return the columns
 of documents; the last returns the packed pieces. Stages write to the shared
-folder of the session (spark.checkpoint.dir), never to a local one.
+folder of the session (spark.checkpoint.dir), never to a local one, and a stage's rows
+are removed when its successor's are written.
 """
 
 from __future__ import annotations
@@ -56,9 +57,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ensure_checkpoint_dir(spark)
     folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with common.kept_settings(spark):
+        for k, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                common.remove(spark, before)
+            before = path
     return docs.select(*[F.col(f"`{x}`") for x in docs.columns])
