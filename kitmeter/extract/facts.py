@@ -122,7 +122,8 @@ class Facts:
         self.named: list[dict[str, Any]] = []
         self.stars: list[dict[str, Any]] = []
         self.own: list[str] = []
-        self.local_exports: list[tuple[str, str, int]] = []
+        self.local_exports: list[tuple[str, str]] = []
+        self.local_orders: list[int] = []
         self.exported_constants: dict[str, int] = {}
         self.order = 0
         self.references: list[str] = []
@@ -218,7 +219,9 @@ class Facts:
                 self.references.append(source)
                 self.named += [{"source": source, "local": a, "exported": b, "ord": order} for a, b in specs if a]
                 return k + 2
-            self.local_exports += [(*x, order) for x in specs if x[0]]
+            kept = [x for x in specs if x[0]]
+            self.local_exports += kept
+            self.local_orders += [order] * len(kept)
             return k
         if n.text == "default":
             self.own.append("default")

@@ -26,7 +26,7 @@ def _row(repo: str, file: str, path: str | None, snippet_lines: int, source: str
         x = Facts(source, file.endswith(("tsx", "jsx")), snippet_lines)
     except (SyntaxError, RecursionError) as e:
         return row | {"code": "parse-failed", "message": str(e)[:200]}
-    exports = [{"local": a, "exported": b, "ord": k} for a, b, k in x.local_exports]
+    exports = [{"local": a, "exported": b, "ord": k} for (a, b), k in zip(x.local_exports, x.local_orders)]
     traced = {"constants": x.constant_rows(), "own": sorted(set(x.own)), "local_exports": exports, "sites": len(x.sites), "routes": x.route_rows()}
     return row | traced | {"bindings": [{"local": k, "source": s, "imported": i, "is_namespace": n} for k, (s, i, n) in x.bindings.items()], "elements": x.elements, "profiles": x.profiles, "named": x.named, "stars": x.stars, "references": sorted(set(x.references))}
 

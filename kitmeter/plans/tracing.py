@@ -62,7 +62,7 @@ best AS (
   SELECT t.repo_id, t.file, source, arg_min(t.path, o * 100 + k) AS target FROM tried t JOIN f ON f.repo_id = t.repo_id AND f.path = t.path GROUP BY ALL
 )
 SELECT s.repo_id, s.file, s.source, CASE WHEN target IS NOT NULL THEN 'in-repo' WHEN s.source LIKE '.%' OR s.source LIKE '/%' THEN 'unresolved' ELSE 'external' END AS kind,
-       CASE WHEN target IS NOT NULL THEN target WHEN s.source NOT LIKE '.%' AND s.source NOT LIKE '/%' THEN regexp_extract(s.source, '^(@[^/]+/[^/]+|[^/]+)', 1) END AS target
+       CASE WHEN target IS NOT NULL THEN target WHEN s.source NOT LIKE '.%' AND s.source NOT LIKE '/%' THEN regexp_extract(s.source, '^(@[^/]*/[^/]*|[^/]+)', 1) END AS target
 FROM s LEFT JOIN hit h ON h.repo_id = s.repo_id AND h.file = s.file AND h.source = s.source
 """
 
