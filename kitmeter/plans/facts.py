@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..extract.facts import Facts
 
+#: Calls that may be open at once in a worker that parses.
+NESTING = 100_000
+
 _PROFILE = "struct<symbol:string,prop_names:array<string>,code_snippet:string,code_snippet_truncated:boolean,jsx_element_count:int,html_tags:array<string>,tags:array<string>,customized:array<string>,wrapped:array<string>,uses_styled:boolean>"
 FACTS = f"repo_id string, file string, abs_path string, code string, message string, bindings array<struct<local:string,source:string,imported:string,is_namespace:boolean>>, elements array<struct<tag:string,base:string,line:int,col:int,ord:int>>, profiles array<{_PROFILE}>, named array<struct<source:string,local:string,exported:string,ord:int>>, stars array<struct<source:string,exported:string,ord:int>>, references array<string>, constants array<struct<name:string,member:string,kind:string,text:string,ord:int>>, own array<string>, local_exports array<struct<local:string,exported:string,ord:int>>, sites int, routes array<struct<node:int,parent:int,path:struct<kind:string,text:string>,page:string,names:array<string>>>"
 
@@ -40,6 +44,8 @@ def facts_of(sources: DataFrame, snippet_lines: int = 50) -> DataFrame:
     optional = [F.col(x) if x in sources.columns else F.lit(None).cast("string").alias(x) for x in ("abs_path", "message")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # nested groups are read by calls of Python functions, whose frames lie on the heap
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), NESTING))
         for part in batches:
             yield pd.DataFrame([_row(r, f, p, snippet_lines, s, m) for r, f, s, p, m in part.itertuples(index=False)], columns=_COLUMNS)
 

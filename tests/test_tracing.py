@@ -4,9 +4,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kitmeter.operators import modules, routes, trace
-from kitmeter.plans import prescan
+from kitmeter.plans import facts, prescan
 from kitmeter.sources import files
 from kitmeter.sources.config import Library
 
@@ -105,6 +106,12 @@ def test_source_trees(spark, tmp_path):
     assert files.read(spark, []).collect() == []
 
 
+def test_deeply_nested_sources(spark):
+    deep = {"p.tsx": "export const x = " + "(" * 5000 + "1" + ")" * 5000 + ";", "e.tsx": "export const A = () => " + "<b>" * 5000 + "x" + "</b>" * 5000 + ";"}
+    got = {r["file"]: r for r in facts.facts_of(spark.createDataFrame([("r", k, v) for k, v in deep.items()], "repo_id string, file string, source string")).select("file", "code", "own", F.size("elements").alias("n")).collect()}
+    assert got["p.tsx"]["code"] is None and got["p.tsx"]["own"] == ["x"] and got["e.tsx"]["n"] == 5000
+
+
 def test_libraries_with_aliases_and_failures(spark, tmp_path):
     put(tmp_path, {
         "repo/tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["kit/*"]}}}',
