@@ -14,6 +14,7 @@ from ..operators.recommend import Thresholds
 from ..session import checkpoint
 from . import adapters as A
 from . import scan as S
+from .facts import spread
 from .queries import query
 
 BINDING = """
@@ -323,12 +324,12 @@ def _sources(spark, d) -> DataFrame:
     text = F.lit(_SOURCE.replace("{{", "\x01").replace("}}", "\x02"))
     for mark, value in (("{k}", (F.col("p_partkey") % 9).cast("string")), ("{p}", F.col("p_partkey").cast("string")), ("\x01", F.lit("{")), ("\x02", F.lit("}"))):
         text = F.replace(text, F.lit(mark), value)
-    parts = spark.read.parquet(f"{d}/part.parquet")
+    parts = spread(spark.read.parquet(f"{d}/part.parquet").select("p_partkey"), "p_partkey")
     return parts.select(F.concat(F.lit("r"), F.col("p_partkey") % 5).alias("repo_id"), F.concat(F.lit("src/c"), "p_partkey", F.lit(".tsx")).alias("file"), text.alias("source"))
 
 
 def _facts(spark, d, column: str) -> DataFrame:
-    found = S.facts_of(_sources(spark, d))
+    found = S.facts_of(_sources(spark, d), only=("file", "code", column))
     return found.where("code IS NULL").select("file", F.explode(column).alias("x"))
 
 
