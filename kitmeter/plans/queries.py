@@ -441,7 +441,7 @@ def s7_jsonl_round_trip(spark, d):
     u = A.usage(spark, d)
     missing = {f.name: F.lit(None).cast(f.dataType) for f in USAGE if f.name not in u.columns}
     path = shared_folder(spark, "jsonl")
-    records.usage_json(u.withColumns(missing)).write.text(path)
+    records.write_lines(records.usage_json(u.withColumns(missing)), path)
     back = records.read_jsonl(spark, path)["usage"]
     return back.groupBy("repo_id").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), F.sum("col").alias("columns"), F.count("ds_package").alias("packages"))
 

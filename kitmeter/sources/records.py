@@ -67,6 +67,16 @@ def ordered_json(usage: DataFrame, shadow: DataFrame, unresolved: DataFrame, v:
     return every.orderBy("k0", "k1", "k2", "k3", "k4", "k5", "value").select("value")
 
 
+#: Records of a compressed file, which one task reads.
+FILE_RECORDS = 1_000_000
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Records (``value``) as a folder of compressed text files, in no order, to be read back by ``read_jsonl``. The names of the fields are most of a record, so what
+    is written is a small part of the text."""
+    lines.select("value").write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
 def write_jsonl(usage: DataFrame, shadow: DataFrame, unresolved: DataFrame, path: str, v: Vocabulary = Vocabulary(), single: bool = True) -> None:
     """A folder of text files; ``single``: one file, as the dataset is exchanged. For large scans write Parquet and leave it False: the order runs through the files."""
     out = ordered_json(usage, shadow, unresolved, v)
